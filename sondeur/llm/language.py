@@ -16,7 +16,6 @@ is `und`. Repeated rows are labelled alike; extra columns are not read.
 
 from __future__ import annotations
 
-import re
 from bisect import bisect
 from collections import Counter
 from dataclasses import dataclass, field
@@ -36,57 +35,69 @@ SCRIPTS = [
     (0x2C60, "latin"), (0x2C80, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"),
 ]
 _STARTS = [a for a, _ in SCRIPTS]
-LETTERS = re.compile(r"[^\W\d_]+")
-ORDER = 3
 SWITCH = 10.0
 #: Bound of the training sample: documents of one language, documents in all, and characters of each.
 TRAIN_ROWS, TRAIN_ALL, TRAIN_CHARS = 600, 6_000, 4_000
 CACHE = 300_000
+#: Log-likelihood of a letter whose script the language does not use.
+EXCLUDED = -60.0
+_alpha: list[np.ndarray] = []
 
 
 def script(letter: str) -> str:
     return SCRIPTS[bisect(_STARTS, ord(letter)) - 1][1]
 
 
-def grams(word: str) -> list[str]:
-    w = f"^{word[:40]}$"
-    return [w[i : i + ORDER] for i in range(len(w) - ORDER + 1)]
+def letter_grams(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lower-cased text: its code points, the places of letters, and a number for each letter with its two neighbours (0 where that is no letter)."""
+    if not _alpha:
+        _alpha.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    is_letter = _alpha[0][codes]
+    padded = np.concatenate(([0], np.where(is_letter, codes, 0), [0]))
+    at = np.flatnonzero(is_letter)
+    return codes, at, (padded[at] << 42) | (padded[at + 1] << 21) | padded[at + 2]
+
+
+def scripts_of(codes: np.ndarray) -> np.ndarray:
+    return np.searchsorted(_STARTS, codes, side="right") - 1
 
 
 @dataclass
 class Model:
     langs: list[str] = field(default_factory=list)
-    #: Row of each n-gram in `logs`; the last row stands for the others.
-    rows: dict[str, int] = field(default_factory=dict)
+    #: Sorted n-grams; log-likelihoods by n-gram and language, the last row for the others.
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     logs: np.ndarray = field(default_factory=lambda: np.zeros((1, 0), np.float32))
-    #: By script: which languages use it.
-    scripts: dict[str, list[bool]] = field(default_factory=dict)
+    #: By range of SCRIPTS: which languages use its script; all False where none does.
+    ranges: np.ndarray = field(default_factory=lambda: np.zeros((len(SCRIPTS), 0), bool))
 
 
 def train(texts: list[tuple[str, str]]) -> Model:
     """texts: (language, text)."""
     size = Counter(lang for lang, _ in texts)
     langs = sorted(size, key=lambda x: (-size[x], x))
-    counts = {x: Counter() for x in langs}
-    scripts = {x: Counter() for x in langs}
-    for lang, text in texts:
-        words = Counter(LETTERS.findall(text.lower()))
-        for w, n in words.items():
-            for g in grams(w):
-                counts[lang][g] += min(n, 3)
-            scripts[lang][script(w[0])] += n
-    total = Counter()
-    for c in counts.values():
-        total.update(c)
-    kept = [g for g, n in total.items() if n >= 4]
-    logs = np.empty((len(kept) + 1, len(langs)), np.float32)
+    counts: list[dict[int, int]] = []
+    used = np.zeros((len(SCRIPTS), len(langs)), bool)
     for k, lang in enumerate(langs):
-        c = counts[lang]
-        n = sum(c.values()) + 0.5 * (len(kept) + 1)
-        logs[:-1, k] = np.log((np.fromiter((c[g] for g in kept), float, len(kept)) + 0.5) / n)
+        codes, at, grams = letter_grams("\n".join(t.lower() for x, t in texts if x == lang))
+        key, n = np.unique(grams, return_counts=True)
+        counts.append(dict(zip(key.tolist(), n.tolist())))
+        by = np.bincount(scripts_of(codes[at]), minlength=len(SCRIPTS))
+        share = Counter()
+        for (_, name), v in zip(SCRIPTS, by.tolist()):
+            share[name] += v
+        used[:, k] = [share[name] >= max(1, 0.01 * len(at)) for _, name in SCRIPTS]
+    total: Counter = Counter()
+    for c in counts:
+        total.update(c)
+    keys = np.array(sorted(g for g, n in total.items() if n >= 4), np.int64)
+    logs = np.empty((len(keys) + 1, len(langs)), np.float32)
+    for k, c in enumerate(counts):
+        n = sum(c.values()) + 0.5 * (len(keys) + 1)
+        logs[:-1, k] = np.log((np.fromiter((c.get(g, 0) for g in keys.tolist()), float, len(keys)) + 0.5) / n)
         logs[-1, k] = np.log(0.5 / n)
-    used = {s: [scripts[x][s] >= 0.01 * sum(scripts[x].values()) for x in langs] for s in {s for c in scripts.values() for s in c}}
-    return Model(langs, {g: i for i, g in enumerate(kept)}, logs - logs.mean(1, keepdims=True), {s: v for s, v in used.items() if any(v)})
+    return Model(langs, keys, logs - logs.mean(1, keepdims=True), used)
 
 
 class Labeller:
@@ -101,28 +112,30 @@ class Labeller:
         self.known = np.zeros(0, bool)
 
     def _learn(self, chunks: list[str]) -> None:
-        n, k = len(chunks), len(self.m.langs)
-        rows, ends, letters = [], np.zeros(n, np.int64), np.zeros(n, np.int32)
-        known, allowed = np.zeros(n, bool), np.ones((n, k), bool)
-        get, other = self.m.rows.get, len(self.m.logs) - 1
-        for i, c in enumerate(chunks):
-            found = LETTERS.findall(c.lower())
-            letters[i] = sum(map(len, found))
-            for w in found:
-                if (ok := self.m.scripts.get(script(w[0]))) is not None:
-                    rows += [get(g, other) for g in grams(w)]
-                    known[i] = True
-                    allowed[i] &= ok
-            ends[i] = len(rows)
-        sums = np.vstack([np.zeros((1, k)), np.cumsum(self.m.logs[rows], axis=0, dtype=np.float64)])
-        score = np.diff(sums[np.concatenate(([0], ends))], axis=0)
-        score = np.clip(score, -12, 12)  # a word counts for a bounded amount
-        allowed[~allowed.any(1)] = True
-        score = np.where(allowed, score, -60.0)
-        score[~known] = 0
+        n, m = len(chunks), self.m
+        lowered = [c.lower() for c in chunks]
+        codes, at, grams = letter_grams("".join(lowered))
+        ends = np.cumsum(np.fromiter(map(len, lowered), np.int64, n))
+        bounds = np.searchsorted(at, np.concatenate(([0], ends)))  # letters before each chunk
+        # Chunks touch here, so a letter at an edge has its neighbour outside taken away.
+        edge = np.zeros(len(codes) + 1, bool)
+        edge[0] = True
+        edge[ends] = True
+        grams = np.where(edge[at], grams & ((1 << 42) - 1), grams)
+        grams = np.where(edge[at + 1], grams & ~np.int64((1 << 21) - 1), grams)
+        row = np.searchsorted(m.keys, grams) if len(m.keys) else np.zeros(len(grams), np.int64)
+        if len(m.keys):
+            row = np.where(m.keys[np.minimum(row, len(m.keys) - 1)] == grams, row, len(m.keys))
+        ok = m.ranges[scripts_of(codes[at])]
+        learned = ok.any(1)
+        logs = np.where(ok, m.logs[row], EXCLUDED) * learned[:, None]
+        sums = np.vstack([np.zeros((1, len(m.langs))), np.cumsum(logs, axis=0, dtype=np.float64)])
+        score = np.diff(sums[bounds], axis=0)
+        score = np.where(score < EXCLUDED / 2, EXCLUDED, np.clip(score, -12, 12))  # a word counts for a bounded amount
         self.place.update(zip(chunks, range(len(self.place), len(self.place) + n)))
         self.score = np.vstack([self.score, score.astype(np.float32)])
-        self.letters, self.known = np.concatenate([self.letters, letters]), np.concatenate([self.known, known])
+        self.letters = np.concatenate([self.letters, np.diff(bounds).astype(np.int32)])
+        self.known = np.concatenate([self.known, np.diff(np.concatenate(([0], np.cumsum(learned)))[bounds]) > 0])
 
     def label(self, texts: pa.Array):
         """Per word: place of its text's language in langs, letters, whether it was scored; bounds of each text's words; the words' lists."""
