@@ -159,7 +159,7 @@ def nearest(rows: DataFrame, is_query, k: int = K, trees: int = TREES, share: fl
     def met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """The best of one part of a tree, for each query that visits leaves of it."""
         if not len(left) or not len(right):
-            return pd.DataFrame({"q": [], "ids": [], "has_null": [], "score": []})
+            return pd.DataFrame(columns=["q", "ids", "has_null", "score"], dtype=object)
         right = right.sort_values("leaf", kind="stable")
         raw = np.stack(right["v"].to_list())
         x, at = unit(raw), right["leaf"].to_numpy()
