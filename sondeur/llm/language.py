@@ -218,23 +218,45 @@ def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     def labelled(batches):
         m = shared.value
         labeller = Labeller(m)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 5000):
-                b = whole.slice(at, 5000)
-                label, letters, known, bounds, words = labeller.label(b.column("text"))
-                per = np.stack([_sums(np.where(known & (label == k), letters, 0), bounds) for k in range(len(m.langs))], 1) if m.langs else np.zeros((b.num_rows, 1))
-                total = _sums(letters, bounds)
-                best = per.argmax(1)
-                score = per.max(1) / np.maximum(total, 1)
-                lang = [m.langs[k] if n and m.langs else "und" for k, n in zip(best.tolist(), total.tolist())]
-                out = [b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)]
-                if spans:
-                    out.append(pa.array(_spans(m, label, known, bounds, words), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
-                yield pa.RecordBatch.from_arrays(out, names=[f.split(" ")[0] for f in kind.split(", ")][: len(out)])
+        for b in _slices(batches):
+            lang, score, parts = _predicted(labeller, b.column("text"))
+            out = [b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)]
+            if spans:
+                out.append(pa.array(_spans(m, *parts), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "lang_pred", "score", "spans"][: len(out)])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(labelled, kind)
 
 
+def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs, as they are, in a learned language that holds a share of `least` or more of the letters."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches):
+        labeller = Labeller(shared.value)
+        for b in _slices(batches):
+            lang, score, _ = _predicted(labeller, b.column("text"))
+            yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score)], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
+def _slices(batches, rows: int = 5000):
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def _predicted(labeller: Labeller, texts: pa.Array):
+    """Language and score of each text, and what _spans() needs."""
+    label, letters, known, bounds, words = labeller.label(texts)
+    langs = labeller.m.langs
+    per = np.stack([_sums(np.where(known & (label == k), letters, 0), bounds) for k in range(len(langs))], 1) if langs else np.zeros((len(texts), 1))
+    total = _sums(letters, bounds)
+    lang = [langs[k] if n and langs else "und" for k, n in zip(per.argmax(1).tolist(), total.tolist())]
+    return lang, per.max(1) / np.maximum(total, 1), (label, known, bounds, words)
+
+
 def _spans(m: Model, label: np.ndarray, known: np.ndarray, bounds: np.ndarray, words: pa.Array) -> list[list[dict]]:
     size = pc.utf8_length(words.flatten()).to_numpy().astype(np.int64) + 1
     out = []

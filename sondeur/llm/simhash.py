@@ -198,8 +198,9 @@ def dedup(docs: DataFrame, radius: int = 3, width: int = 5) -> DataFrame:
     keep = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
     hashed = docs.withColumn("_hash_of", _text_hash(docs["text"]))
     kept = hashed.join(keep, hashed["doc_id"].cast("long").eqNullSafe(keep["_id"]) & (hashed["_hash_of"] == keep["_hash"]), "left_semi")
-    # Repeated rows are of one fingerprint, and one of them stays.
-    return kept.dropDuplicates(["doc_id", "_hash_of"]).drop("_hash_of")
+    repeated = found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
+    # Rows that are repeated whole are of one fingerprint, and one of them stays.
+    return (kept.dropDuplicates(["doc_id", "_hash_of"]) if repeated else kept).drop("_hash_of")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -234,6 +234,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, "doc_id long, score double, predicted int")
 
 
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, as they are, that are not predicted toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches):
+        m = shared.value
+        for b in batches:
+            yield b.filter(pa.array([m.score(t) < 0.5 for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from the labelled rows that are not held out."""
     from . import common
