@@ -121,15 +121,14 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     made = 0
     for i in order.tolist():
         s = int(lengths[i])
-        # The sum changes by 2 (after - before) + 2 when a bin moves from one gap to another, by 1 - 2 before when it fills up, by 2 new + 1 when one opens.
+        # The sum changes by 2 (after - before) + 2 when a bin moves from one gap to another, by 1 - 2 before when it fills up.
         gaps = count[s:]
         change = 2 * (count[: capacity + 1 - s] - gaps) + 2
         change[0] = 1 - 2 * gaps[0]
         change[gaps == 0] = 1 << 40
         k = int(change.argmin())
-        new = capacity - s
-        if change[k] >= (1 << 40) or (new and 2 * count[new] + 1 < change[k] and k != 0 and _spare(count, s, made)):
-            bins[i], offsets[i], gap = made, 0, new
+        if change[k] >= (1 << 40):  # none fits; lengths fall, so a bin opened sooner could only stay emptier
+            bins[i], offsets[i], gap = made, 0, capacity - s
             made += 1
         else:
             gap = k + s
@@ -142,11 +141,6 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
-def _spare(count: np.ndarray, s: int, made: int) -> bool:
-    """Whether a bin may be opened though one fits: never, once lengths come in falling order; a new bin could only be left part filled."""
-    return False
-
-
 def pack(found: DataFrame, n: int, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """sequence_id and offset for n stored rows with length and salt."""
     groups = max(1, -(-n // group))
