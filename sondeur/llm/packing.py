@@ -32,7 +32,7 @@ CAPACITY = 4096
 #: Pieces in a group, on average.
 GROUP = 20_000
 #: Distinct words whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 600_000
 
 
 def tokenizer_path() -> str:
@@ -41,6 +41,24 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _core(word: str) -> tuple[str, str]:
+    """Lower-cased letters and the marks after them; whole and nothing where a word isn't letters and marks alone."""
+    core = word.rstrip(",.!?;:*$%#&")
+    if core.isalpha() and "\u0130" not in core and "\u03a3" not in core:  # letters whose lower case is not one letter, or depends on their place
+        return core.lower(), word[len(core) :]
+    return word, ""
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 class Encoder:
     """Ids of whole texts, as flat arrays."""
 
@@ -52,15 +70,20 @@ class Encoder:
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
+        self.known: dict[str, bytes] = {}
         self.ids: list[np.ndarray] = []
         self.lengths: list[np.ndarray] = []
 
     def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        """The tokenizer lowers case and splits letters from marks that follow, so words that differ in these share their core's ids."""
+        parts = [_core(w) for w in words]
+        if new := list({x for p in parts for x in p if x not in self.known}):
+            self.known.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)))
+        known = self.known
+        ids = [known[core] + known[marks] for core, marks in parts]
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
-        ids = [e.ids for e in found]
-        self.lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-        self.ids.append(np.fromiter((i for x in ids for i in x), np.uint32, int(self.lengths[-1].sum())))
+        self.lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+        self.ids.append(np.frombuffer(b"".join(ids), np.uint32))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text begins (one place more than texts)."""
@@ -91,12 +114,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     def cut(batches):
         from pyspark import TaskContext
 
-        encoder, n = Encoder(path), 0
+        encode, n = encoder(path).encode, 0
         task = TaskContext.get().partitionId()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                ids, bounds = encoder.encode(b.column("text"))
+                ids, bounds = encode(b.column("text"))
                 rows = []
                 for doc, lo, hi in zip(b.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                     own = np.append(ids[lo:hi], np.uint32(end)).astype("<u4")
