@@ -82,7 +82,7 @@ def _mp3(d):
 
 def _inflates(f):
     def check(d):
-        return len(f(d)) >= 0
+        return bool(d) and f(d) is not None
 
     return check
 
