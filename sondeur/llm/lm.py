@@ -37,7 +37,7 @@ from . import common
 
 ALPHA, UNSEEN = 0.4, 0.5
 #: Bytes of text in a block, and n-grams in a partition of the count table, about.
-BLOCK_BYTES, PART_KEYS = 8_000_000, 3_000_000
+BLOCK_BYTES, PART_KEYS = 8_000_000, 2_000_000
 
 
 def _squeeze(a: np.ndarray) -> bytes:
@@ -48,15 +48,23 @@ def _spread(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """Byte by byte: high bytes of small numbers are nearly all zero."""
+    return _squeeze(a.view(np.uint8).reshape(-1, a.itemsize).T)
+
+
+def _joined(b: bytes, kind) -> np.ndarray:
+    planes = _spread(b, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte by byte: high bytes are nearly all zero."""
-    d = np.diff(keys, prepend=np.uint64(0))
-    return _squeeze(d.view(np.uint8).reshape(-1, 8).T)
+    """Sorted keys as differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def _unpack_keys(b: bytes) -> np.ndarray:
-    planes = _spread(b, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_joined(b, np.uint64), dtype=np.uint64)
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -84,9 +92,14 @@ def blocks(docs: DataFrame) -> DataFrame:
                 before = np.concatenate(([0], np.cumsum(word)))
                 coded = flat.filter(pa.array(word)).dictionary_encode()
                 vocabulary = np.fromiter(map(hashed, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+                # The most frequent words get the smallest numbers, which pack best.
+                codes = coded.indices.to_numpy(zero_copy_only=False)
+                order = np.argsort(-np.bincount(codes, minlength=len(vocabulary)), kind="stable")
+                number = np.empty(len(order), np.int32)
+                number[order] = np.arange(len(order), dtype=np.int32)
                 sizes = np.diff(before[bounds])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([(task << 32) + k]), pa.array([b.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([_squeeze(vocabulary)], pa.binary()), pa.array([_squeeze(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32))], pa.binary()), pa.array([int(sizes.sum())])],
+                    [pa.array([(task << 32) + k]), pa.array([b.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([_squeeze(vocabulary[order])], pa.binary()), pa.array([_planes(number[codes])], pa.binary()), pa.array([int(sizes.sum())])],
                     names=["block", "doc_ids", "sizes", "words", "codes", "n"],
                 )
                 k += 1
@@ -105,7 +118,7 @@ class _Grams:
     """n-grams of a block: `keys`, sorted and distinct for all orders; place[o][i]: key of the n-gram of o + 1 words that ends at word i, and own[o][i]: its count in its document. has[o]: whether there is one."""
 
     def __init__(self, words: bytes, codes: bytes, sizes: np.ndarray):
-        w = _spread(words, np.uint64)[_spread(codes, np.int32)]
+        w = _spread(words, np.uint64)[_joined(codes, np.int32)]
         n = len(w)
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
         at = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
