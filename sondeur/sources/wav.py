@@ -106,8 +106,9 @@ def files(binary: DataFrame, key: str = "path") -> DataFrame:
                     m = parse(bytes(d))
                     rows.append({key: k, **m, "samples": m["samples"].T.tolist(), "error": None})
                 except Exception as e:  # noqa: BLE001  one bad file is one bad row
-                    rows.append({key: k, "error": f"{type(e).__name__}: {e}"[:200]})
-            yield pd.DataFrame(rows, columns=[key, *names]).astype({c: "Int64" for c in ("file_size", "riff_size", "channels", "sample_rate", "bits_per_sample", "total_samples")})
+                    rows.append(dict.fromkeys(names) | {key: k, "error": f"{type(e).__name__}: {e}"[:200]})
+            frame = pd.DataFrame(rows, columns=[key, *names], dtype=object)
+            yield frame.astype({c: "Int64" for c in ("file_size", "riff_size", "channels", "sample_rate", "bits_per_sample", "total_samples")})
 
     return binary.select(key, "content").mapInPandas(run, f"{key} string, {META}")
 

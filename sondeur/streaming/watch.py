@@ -10,7 +10,7 @@ from ..operators import scan
 
 
 def arriving(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.readStream.format("binaryFile").load(folder).select("path", F.col("content").alias("data"))
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("path", F.col("content").alias("data"))
 
 
 def hits(stream: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
