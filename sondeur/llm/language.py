@@ -38,7 +38,7 @@ _STARTS = [a for a, _ in SCRIPTS]
 SWITCH = 10.0
 #: Bound of the training sample: documents of one language, documents in all, and characters of each.
 TRAIN_ROWS, TRAIN_ALL, TRAIN_CHARS = 600, 6_000, 4_000
-CACHE = 300_000
+CACHE = 200_000
 #: Log-likelihood of a letter whose script the language does not use.
 EXCLUDED = -60.0
 _alpha: list[np.ndarray] = []
@@ -241,7 +241,7 @@ def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
     return docs.mapInArrow(kept, docs.schema)
 
 
-def _slices(batches, rows: int = 5000):
+def _slices(batches, rows: int = 2500):
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
