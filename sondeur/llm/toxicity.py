@@ -34,8 +34,8 @@ LEVEL = 3
 SEGMENT_BYTES = 8_192
 COMMON_BYTES = 12_288
 #: Bound of the training sample: rows of either class, and characters in all.
-TRAIN_ROWS = 2_500
-TRAIN_CHARS = 24_000_000
+TRAIN_ROWS = 1_500
+TRAIN_CHARS = 9_000_000
 
 
 def windows(text: str | None, size: int = WINDOW_WORDS) -> list[bytes]:
