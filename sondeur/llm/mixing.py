@@ -90,7 +90,7 @@ def rake(cells: pd.DataFrame, targets: dict[str, dict[str, float]]) -> np.ndarra
     for _ in range(SWEEPS):
         off = 0.0
         for codes, target in coded:
-            now = np.bincount(codes, weights=w, minlength=len(target))
+            now = np.bincount(codes, weights=w, minlength=len(target)).astype(float)
             off = max(off, float(np.abs(now - target).max(initial=0)))
             w = w * np.divide(target, now, out=np.zeros_like(now), where=now > 0)[codes]
         if off < CLOSE:
