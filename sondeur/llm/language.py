@@ -224,6 +224,8 @@ def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
             if spans:
                 out.append(pa.array(_spans(m, *parts), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "lang_pred", "score", "spans"][: len(out)])
+        labeller._clear()
+        common.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(labelled, kind)
 
@@ -237,6 +239,8 @@ def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
         for b in _slices(batches):
             lang, score, _ = _predicted(labeller, b.column("text"))
             yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score)], pa.bool_()))
+        labeller._clear()
+        common.release()
 
     return docs.mapInArrow(kept, docs.schema)
 

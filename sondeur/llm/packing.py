@@ -53,7 +53,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One for all tasks of a worker."""
+    """One for all tasks of a worker; a task leaves it without words."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -130,6 +130,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
                 salt = (np.arange(n, n + len(rows), dtype=np.uint64) + np.uint64(task << 40)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1)
                 n += len(rows)
                 yield pa.RecordBatch.from_arrays([*out, pa.array(salt.astype(np.int64))], names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+        encoder(path)._clear()
+        common.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, salt long")
 
