@@ -68,7 +68,7 @@ def _unpack_keys(b: bytes) -> np.ndarray:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """block, doc_ids, sizes (words of each), words (hashes), codes (places in words), n (words in all)."""
+    """block, doc_ids, sizes (words of each), words (hashes), codes (places in words)."""
 
     def made(batches):
         from pyspark import TaskContext
@@ -99,12 +99,12 @@ def blocks(docs: DataFrame) -> DataFrame:
                 number[order] = np.arange(len(order), dtype=np.int32)
                 sizes = np.diff(before[bounds])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([(task << 32) + k]), pa.array([b.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([_squeeze(vocabulary[order])], pa.binary()), pa.array([_planes(number[codes])], pa.binary()), pa.array([int(sizes.sum())])],
-                    names=["block", "doc_ids", "sizes", "words", "codes", "n"],
+                    [pa.array([(task << 32) + k]), pa.array([b.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([_squeeze(vocabulary[order])], pa.binary()), pa.array([_planes(number[codes])], pa.binary())],
+                    names=["block", "doc_ids", "sizes", "words", "codes"],
                 )
                 k += 1
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(made, "block long, doc_ids array<long>, sizes array<long>, words binary, codes binary, n long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(made, "block long, doc_ids array<long>, sizes array<long>, words binary, codes binary")
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -126,15 +126,24 @@ class _Grams:
         two[1:] = _mix(w[:-1], 1) * np.uint64(3) + w[1:]
         three[2:] = _mix(two[1:-1], 2) * np.uint64(5) + w[2:]
         self.has = [at >= o for o in range(3)]
-        hashed = [_mix(x, 11 + o)[self.has[o]] >> np.uint64(8) for o, x in enumerate((w, two, three))]
-        self.keys, inverse, self.counts = np.unique(np.concatenate(hashed), return_inverse=True, return_counts=True)
-        self.place = []
-        end = 0
-        for o in range(3):
-            p = np.zeros(n, np.int64)
-            p[self.has[o]] = inverse[end : end + len(hashed[o])]
-            end += len(hashed[o])
+        # One order after another, which takes a third of the memory; then the orders' distinct keys are sorted together.
+        keys, counts, self.place = [], [], []
+        for o, x in enumerate((w, two, three)):
+            own, inverse, k = np.unique(_mix(x, 11 + o)[self.has[o]] >> np.uint64(8), return_inverse=True, return_counts=True)
+            p = np.zeros(n, np.int32)
+            p[self.has[o]] = inverse
+            keys.append(own)
+            counts.append(k.astype(np.uint32))
             self.place.append(p)
+        del w, two, three
+        bounds = np.cumsum([0, *map(len, keys)])
+        order = np.argsort(np.concatenate(keys), kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.keys, self.counts = np.concatenate(keys)[order], np.concatenate(counts)[order]
+        for o in range(3):
+            if len(keys[o]):
+                self.place[o] = rank[bounds[o] :][self.place[o]]
 
     def own(self, o: int) -> np.ndarray:
         n = len(self.doc)
@@ -151,26 +160,31 @@ class _Grams:
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_trigram, n_bigram, n_unigram (words scored at each order), log_score, mean_log_score."""
-    packed = common.stored(blocks(docs), "blocks")
-    words = packed.agg(F.sum("n").alias("n")).first()["n"] or 0
+    words = docs.agg(F.sum(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^ \n\t\r\x0B\f]+"))).alias("n")).first()["n"] or 0
+    # Both uses below read one shuffle of the blocks, for which they must select the same columns.
+    packed = blocks(docs).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
     bits = max(0, int(np.ceil(np.log2(max(1.0, 1.7 * words / PART_KEYS)))))
 
     def asked(batches):
         for b in batches:
             for r in b.to_pylist():
                 g = _Grams(r["words"], r["codes"], np.array(r["sizes"], np.int64))
+                g.place = []
                 cuts = np.searchsorted(g.keys, (np.arange(1 << bits, dtype=np.uint64) << np.uint64(56 - bits)) if bits else np.zeros(1, np.uint64)).tolist() + [len(g.keys)]
                 for part, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
                     if hi > lo:
-                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([r["block"]]), pa.array([_pack_keys(g.keys[lo:hi])], pa.binary()), pa.array([_squeeze(g.counts[lo:hi].astype(np.uint32))], pa.binary())], names=["part", "block", "keys", "counts"])
+                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([r["block"]]), pa.array([_pack_keys(g.keys[lo:hi])], pa.binary()), pa.array([_planes(g.counts[lo:hi])], pa.binary())], names=["part", "block", "keys", "counts"])
 
     def counted(pdf: pd.DataFrame) -> pd.DataFrame:
         """One partition of the count table, and its answers."""
         keys = [_unpack_keys(k) for k in pdf["keys"]]
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate([_spread(c, np.uint32) for c in pdf["counts"]])).astype(np.int64)
+        total = np.bincount(place, weights=np.concatenate([_joined(c, np.uint32) for c in pdf["counts"]])).astype(np.int64)
         ends = np.cumsum([len(k) for k in keys])
-        return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "totals": [_squeeze(total[place[e - len(k) : e]]) for k, e in zip(keys, ends)]})
+        out = pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "totals": [_planes(total[place[e - len(k) : e]]) for k, e in zip(keys, ends)]})
+        del keys, place, total
+        common.release()
+        return out
 
     def summed(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -178,7 +192,7 @@ def score(docs: DataFrame) -> DataFrame:
             sizes = np.array(r.sizes, np.int64)
             g = _Grams(r.words, r.codes, sizes)
             ordered = answers.sort_values("part")["totals"]
-            totals = np.concatenate([_spread(t, np.int64) for t in ordered]) if len(ordered) else np.zeros(0, np.int64)
+            totals = np.concatenate([_joined(t, np.int64) for t in ordered]) if len(ordered) else np.zeros(0, np.int64)
             others = (words - sizes)[g.doc].astype(float)
             c = [np.where(g.has[o], totals[g.place[o]] - g.own(o), 0) for o in range(3)] if len(totals) else [np.zeros(0, np.int64)] * 3
             before = lambda x: np.concatenate((np.zeros(1, x.dtype), x[:-1]))
@@ -192,8 +206,8 @@ def score(docs: DataFrame) -> DataFrame:
             out.append(pd.DataFrame({"doc_id": pd.array(r.doc_ids, "Int64"), "n_words": sizes, **{f"n_{name}": per(level == o).astype(np.int64) for o, name in ((2, "trigram"), (1, "bigram"), (0, "unigram"))}, "log_score": sums, "mean_log_score": np.where(sizes > 0, sums / np.maximum(sizes, 1), np.nan)}))
         return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "n_words", "n_trigram", "n_bigram", "n_unigram", "log_score", "mean_log_score"], dtype=object)
 
-    table = packed.select("block", "sizes", "words", "codes").mapInArrow(asked, "part int, block long, keys binary, counts binary").groupBy("part").applyInPandas(counted, "block long, part int, totals binary")
-    found = packed.select("block", "doc_ids", "sizes", "words", "codes").groupBy("block").cogroup(table.groupBy("block")).applyInPandas(summed, "doc_id long, n_words long, n_trigram long, n_bigram long, n_unigram long, log_score double, mean_log_score double")
+    table = packed.mapInArrow(asked, "part int, block long, keys binary, counts binary").groupBy("part").applyInPandas(counted, "block long, part int, totals binary")
+    found = packed.groupBy("block").cogroup(table.groupBy("block")).applyInPandas(summed, "doc_id long, n_words long, n_trigram long, n_bigram long, n_unigram long, log_score double, mean_log_score double")
     return found.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("mean_log_score")))
 
 
