@@ -12,6 +12,11 @@ that its bounds still allow. Within a shard further levels prune before the
 exact comparison. Links found become a forest per shard at once, so a dense
 group of k fingerprints gives k - 1 edges and never k * k pairs.
 
+dedup() needs no fingerprint: it links texts whose sets of five-word shingles
+have a Jaccard similarity of 0.8 at least, which fingerprints of 64 bits don't
+tell. Sets that are so alike share one of the rarest fifth of their shingles
+(in any one order of all shingles), so those meet and are compared exactly.
+
 Defined results: a null text, an empty one and one of white space alone have
 fingerprint zero, linked like any other. Repeated rows give repeated result
 rows. A null doc_id is ignored when the smallest is sought; a component of
@@ -26,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -36,6 +41,8 @@ SEED = 42
 VANTAGE = 0x5DEECE66D1CE4E5B
 #: Members that a shard should hold on average, from which the number of levels that make shards follows.
 SHARD_MEMBERS = 20_000
+#: Similarity (a fraction) from which sets of shingles are near copies for dedup(), and buckets in which it counts shingles.
+LIKE, SKETCH = (4, 5), 1 << 20
 
 
 def hashes(text: str | None, width: int = 3) -> np.ndarray:
@@ -191,9 +198,119 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     return named(common.stored(fingerprints(docs, width), "prints"), radius).select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, radius: int = 3, width: int = 5) -> DataFrame:
-    """One row of docs, with all its columns, for each component: that of the smallest doc_id (null ids come last), then of the smallest hash of its text."""
-    found = named(common.stored(fingerprints(docs, width), "prints"), radius)
+def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
+    """doc_id, text_hash, node (a hash of the set), shingles (the text's distinct hashes, ascending as unsigned numbers)."""
+
+    def made(batches):
+        for b in batches:
+            each = [np.unique(hashes(t, width)) for t in b.column("text").to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in each], dtype=np.uint64)
+            ends = np.concatenate(([0], np.cumsum([len(h) for h in each]))).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *each]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(node.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "text_hash", "node", "shingles"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash(F.col("text")).alias("text_hash")).mapInArrow(made, "doc_id long, text_hash long, node long, shingles array<long>")
+
+
+def _batch_shingles(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of a batch, and where each row's begin and end."""
+    column = b.column("shingles")
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
+    return flat, np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+
+
+def _commonness(sets: DataFrame) -> np.ndarray:
+    """How often shingles occur, in SKETCH buckets of hashes. Only the order of a set's shingles hangs on it, never which pairs are found."""
+    part = SKETCH // 16
+
+    def counted(batches):
+        c = np.zeros(SKETCH, np.int64)
+        for b in batches:
+            c += np.bincount((_batch_shingles(b)[0] & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([c[k * part : (k + 1) * part].tobytes() for k in range(16)], pa.binary())], names=["k", "counts"])
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(part, np.int64)
+        for c in pdf["counts"]:
+            total += np.frombuffer(c, np.int64)
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "counts": [total.tobytes()]})
+
+    got = sets.select("shingles").mapInArrow(counted, "k int, counts binary").groupBy("k").applyInPandas(added, "k int, counts binary").collect()
+    out = np.zeros(SKETCH, np.int64)
+    for r in got:
+        out[r.k * part : (r.k + 1) * part] = np.frombuffer(bytes(r.counts), np.int64)
+    return out
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """token, node, n (shingles of the set), at: the rarest shingles of each set, so many that two sets of LIKE share one of them."""
+    shared = sets.sparkSession.sparkContext.broadcast(_commonness(sets))
+
+    def made(batches):
+        common_ = shared.value
+        for b in batches:
+            flat, ends = _batch_shingles(b)
+            weight = common_[(flat & np.uint64(SKETCH - 1)).astype(np.int64)]
+            tokens, sizes, count = [np.zeros(0, np.uint64)], [], []
+            for lo, hi in zip(ends[:-1], ends[1:]):
+                n = int(hi - lo)
+                first = n - -(-LIKE[0] * n // LIKE[1]) + 1 if n else 0
+                order = np.lexsort((flat[lo:hi], weight[lo:hi]))[:first]
+                tokens.append(flat[lo:hi][order])
+                sizes.append(n)
+                count.append(first)
+            token = np.concatenate(tokens).view(np.int64)
+            node = np.repeat(b.column("node").to_numpy(), count)
+            at = np.concatenate([np.zeros(0, np.int64), *map(np.arange, count)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array(np.repeat(np.array(sizes, np.int32), count)), pa.array(at)], names=["token", "node", "n", "at"])
+
+    entries = sets.select("node", "shingles").mapInArrow(made, "token long, node long, n int, at int")
+    # Copies go before the shuffle; a token of one set alone pairs nothing.
+    entries = entries.groupBy("token", "node").agg(F.first("n").alias("n"), F.first("at").alias("at"))
+    return entries.withColumn("_sets", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("_sets > 1").drop("_sets")
+
+
+def _may_be_alike(n: Column, at: Column, m: Column, to: Column) -> Column:
+    """Whether two sets that share the token at these places of one order can reach LIKE: |A and B| >= LIKE / (1 + LIKE) * (|A| + |B|)."""
+    most = F.least(at, to) + 1 + F.least(n - at - 1, m - to - 1)
+    return most.cast("long") * (LIKE[0] + LIKE[1]) >= (n.cast("long") + m) * LIKE[0]
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs a, b whose sets have Jaccard similarity LIKE at least."""
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    own = common.stored(sets.join(needed, "node", "left_semi").select("node", "shingles").dropDuplicates(["node"]), "compared")
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    same = F.size(F.array_intersect("x", "y")).cast("long")
+    return both.where(same * (LIKE[0] + LIKE[1]) >= (F.size("x") + F.size("y")) * LIKE[0]).select("a", "b")
+
+
+def alike(sets: DataFrame) -> DataFrame:
+    """node, root for nodes of stored sets that some chain of pairs of similarity LIKE joins to others; no pair is missed.
+
+    Each set is first compared with two sets of each token of its prefix. What that joins needs no more comparing, so a dense
+    group of k sets takes k comparisons a token; then all pairs that are still apart are compared."""
+    entries = common.stored(_prefixes(sets), "prefixes")
+    of_token = Window.partitionBy("token")
+    stars = []
+    for k in range(2):
+        centre = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"))).over(of_token)
+        found = entries.withColumn("c", centre).where((F.col("node") != F.col("c.b")) & _may_be_alike(F.col("n"), F.col("at"), F.col("c.m"), F.col("c.to")))
+        stars.append(found.select(F.least("node", "c.b").alias("a"), F.greatest("node", "c.b").alias("b")))
+    links = common.stored(_alike(common.stored(stars[0].union(stars[1]).distinct(), "pairs"), sets), "links")
+    near = components(links)
+    placed = common.stored(entries.join(near, "node", "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("root")), "placed")
+    other = placed.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("root").alias("far"))
+    apart = (F.col("node") < F.col("b")) & (F.col("root") != F.col("far")) & _may_be_alike(F.col("n"), F.col("at"), F.col("m"), F.col("to"))
+    rest = placed.join(other, "token").where(apart).select(F.col("node").alias("a"), "b").distinct()
+    more = common.stored(_alike(common.stored(rest, "pairs"), sets), "links")
+    return components(links.union(more))
+
+
+def dedup(docs: DataFrame, width: int = 5) -> DataFrame:
+    """One row of docs, with all its columns, for each group that chains of pairs of similarity LIKE make: that of the smallest doc_id (null ids come last), then of the smallest hash of its text."""
+    sets = common.stored(shingle_sets(docs, width), "shingles")
+    found = sets.select("doc_id", "text_hash", "node").join(alike(sets), "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     keep = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
     hashed = docs.withColumn("_hash_of", _text_hash(docs["text"]))

@@ -277,6 +277,43 @@ def test_simhash(spark, docs, empty):
     assert len(kept) <= len(set(least.values())) + 2 and kept[0].asDict().keys() == docs.first().asDict().keys() and simhash.dedup(empty).count() == 0
 
 
+def test_dedup_finds_all_near_copies(spark):
+    """Against all pairs; near copies lie up to 14 bits apart, and one large group shares a passage with texts unlike it."""
+    r = random.Random(12)
+    say = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    passage, texts = say(60), []
+    for n in (5, 6, 15, 25, 60, 150, 400):
+        for _ in range(6):
+            base = say(n)
+            texts.append(base)
+            for edits in (1, 2, 3, max(1, n // 50)):
+                own = list(base)
+                for k in r.sample(range(n), min(n, edits)):
+                    own[k] = say(1)[0]
+                texts.append(own)
+    texts += [say(r.randint(3, 20)) + passage + say(r.randint(3, 20)) for _ in range(60)]
+    group = say(80)
+    texts += [[*group[:k], "new", *group[k:]] for k in range(80)]
+    d = table(spark, [(i, " ".join(t), "en", "s") for i, t in enumerate(texts)]).repartition(3)
+    sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in texts]
+    least = list(range(len(texts)))
+
+    def find(a):
+        while least[a] != a:
+            a = least[a]
+        return a
+
+    for a in range(len(sets)):
+        for b in range(a):
+            same = len(sets[a] & sets[b])
+            if 5 * same >= 4 * (len(sets[a]) + len(sets[b]) - same):
+                x, y = sorted((find(a), find(b)))
+                least[y] = x
+    want = {find(a) for a in range(len(texts))}
+    assert len(want) < len(texts) - 100
+    assert {x.doc_id for x in simhash.dedup(d).collect()} == want
+
+
 @pytest.mark.parametrize("members", [4, 1000])
 def test_tree_finds_all_pairs(spark, members):
     r = random.Random(8)
