@@ -35,9 +35,11 @@ from . import common
 K = 5
 TREES = 4
 #: Share of each tree's vectors that a query looks at, on average over the trees.
-SHARE = 0.25
+SHARE = 0.35
+#: Vectors that a query looks at in each tree at least.
+LEAST = 1_000
 #: Vectors to a leaf on average, vectors that the trees are fitted on, and vectors of the leaves that are searched in one task.
-LEAF, SAMPLE, TOGETHER = 400, 20_000, 6_000
+LEAF, SAMPLE, TOGETHER = 100, 20_000, 6_000
 
 
 @dataclass
@@ -127,6 +129,7 @@ def nearest(rows: DataFrame, is_query, k: int = K, trees: int = TREES, share: fl
     points = found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.max(F.col("vec_id").isNull()).alias("has_null"))
     points = common.stored(points, "points")
     n = points.count()
+    share = max(share, min(1.0, LEAST / max(1, n)))
     got = points.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").toPandas()["v"]
     depth = max(0, min(round(np.log2(max(1, n) / leaf)), int(np.log2(max(1, len(got)))) - 3))
     forest = fit(unit(np.stack(got.to_list())), depth, trees) if len(got) else []

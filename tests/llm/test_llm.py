@@ -1,6 +1,7 @@
 """Operators against brute force, round trips and held-out rows, on small made-up tables."""
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -189,6 +190,24 @@ def test_neighbours(spark):
     assert neighbours.nearest(few.limit(0), lambda i: i % 50 == 0).count() == 0
 
 
+def test_recall_of_neighbours_as_registered(spark):
+    r = np.random.default_rng(9)
+    made = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(1_200, 64)))], "vec_id long, embedding array<float>")
+    tables = [made] + ([spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")] if os.path.isdir("/root/testdata/sf0.1") else [])
+    for t in tables:
+        rows = [(x.vec_id, x.embedding) for x in t.select("vec_id", "embedding").collect()]
+        ids, x = np.array([i for i, _ in rows]), neighbours.unit(np.array([v for _, v in rows], float))
+        got = {}
+        for g in neighbours.nearest(t, lambda i: i % 4 == 0).collect():
+            got.setdefault(g.query_id, set()).add(g.vec_id)
+        hits = []
+        for k in np.flatnonzero(ids % 4 == 0):
+            s = x @ x[k]
+            s[k] = -2
+            hits.append(len(set(ids[np.argsort(-s)[:5]].tolist()) & got[ids[k]]))
+        assert sum(hits) / 5 / len(hits) >= 0.9
+
+
 def test_packing(spark, docs, empty):
     from tokenizers import Tokenizer
 
