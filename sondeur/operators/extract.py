@@ -175,14 +175,40 @@ def value_lsb(values: DataFrame) -> DataFrame:
 SEEDS = ("1234", "0", "42", "1337", "sparrows", "sparrow")
 
 
-def despread(samples: DataFrame, seed: str, length: int) -> DataFrame:
-    """Lowest bits xor a pseudo-noise sequence of `length` bits from the seed, which repeats."""
+def noise(spark, seed: str, length: int, words: int = 1 << 20) -> DataFrame:
+    """_at, _noise: what random.Random(seed).randint(0, 1) gives, `length` times. The driver walks the generator and keeps its state every `words` outputs; executors make the bits."""
     import random
 
-    own = random.Random(seed)
-    noise = [own.randint(0, 1) for _ in range(length)]
-    table = samples.sparkSession.createDataFrame([(i, b) for i, b in enumerate(noise)], "_at long, _noise int")
-    rows = samples.withColumn("_at", F.col("idx") % length).join(table, "_at")
+    import numpy as np
+    import pyarrow as pa
+
+    def drawn(key: np.ndarray, pos: int):
+        """Bits of the next outputs, and the generator: randint(0, 1) takes two high bits of an output until they are under 2."""
+        g = np.random.MT19937()
+        g.state = {"bit_generator": "MT19937", "state": {"key": key, "pos": pos}}
+        high = g.random_raw(words) >> np.uint64(30)
+        return high[high < 2].astype(np.int32), g.state["state"]
+
+    *key, pos = random.Random(seed).getstate()[1]
+    state, at, blocks = {"key": np.array(key, np.uint32), "pos": pos}, 0, []
+    while at < length:
+        blocks.append((at, bytearray(state["key"].tobytes()), int(state["pos"])))
+        bits, state = drawn(state["key"], state["pos"])
+        at += len(bits)
+
+    def made(batches):
+        for b in batches:
+            for first, key, pos in zip(*(b.column(k).to_pylist() for k in ("first", "key", "pos"))):
+                bits = drawn(np.frombuffer(key, np.uint32), pos)[0][: length - first]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(bits))), pa.array(bits)], names=["_at", "_noise"])
+
+    return spark.createDataFrame(blocks, "first long, key binary, pos int").mapInArrow(made, "_at long, _noise int")
+
+
+def despread(samples: DataFrame, seed: str) -> DataFrame:
+    """Lowest bits xor a pseudo-noise bit from the seed for each sample of the whole signal."""
+    length = (samples.agg(F.max("idx")).first()[0] or 0) + 1
+    rows = samples.join(noise(samples.sparkSession, seed, length), F.col("idx") == F.col("_at"))
     return rows.select("signal_id", _source("dsss_ch", F.col("ch"), f"_{seed}"), "idx", F.col("raw").bitwiseAND(F.lit(1)).cast("int").bitwiseXOR(F.col("_noise")).alias("bit"))
 
 

@@ -177,7 +177,7 @@ _DELTA = "dl AS (SELECT signal_id, idx, (sum(raw & 65535) OVER (ORDER BY idx))::
 add("delta_samples", lambda s, d: extract.delta_values(_or(s, d), BITS), f"WITH {ORDERS}, {_DELTA} SELECT signal_id, 'delta_samples_ch0' AS source, idx, v AS value FROM dl")
 add("delta_lsb", lambda s, d: extract.pack(extract.value_lsb(extract.delta_values(_or(s, d), BITS))), f"WITH {ORDERS}, {_DELTA}, bits AS (SELECT signal_id, 'delta_samples_ch0' AS source, idx, (v & 1)::INT AS bit FROM dl) {_PACK}")
 add("sample_packing", lambda s, d: extract.value_bytes(extract.strided(_or(s, d), 1), BITS), f"WITH {ORDERS} SELECT signal_id, 'stride_samples_ch0_s1_o0' AS source, idx * 2 + k AS idx, (((raw & 65535) >> (8 * k)) & 255)::INT AS byte FROM sig, (SELECT unnest(range(2))::INT AS k)")
-add("dsss_despread", lambda s, d: extract.pack(extract.despread(_or(s, d), "42", 4096)))
+add("dsss_despread", lambda s, d: extract.pack(extract.despread(_or(s, d), "42")))
 for _lv in (1, 3):
     _h, _prev, _parts = [], "sig", []
     for _k in range(1, _lv + 1):

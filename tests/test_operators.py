@@ -115,6 +115,20 @@ def test_dtmf_and_morse():
     assert spectral.morse_text(np.concatenate([np.zeros(unit), *parts, np.zeros(unit)]), rate) == "SO"
 
 
+@pytest.mark.parametrize("words", [1_000, 1 << 20])
+def test_noise_is_as_long_as_the_signal(spark, words):
+    import random
+
+    own = random.Random("42")
+    want = [own.randint(0, 1) for _ in range(10_000)]
+    assert [r._noise for r in extract.noise(spark, "42", 10_000, words).orderBy("_at").collect()] == want
+    if words > 1_000:
+        payload = bytes(range(256)) * 4
+        bits = [int(b) ^ n for b, n in zip(np.unpackbits(np.frombuffer(payload, np.uint8)), want)]
+        got = extract.pack(extract.despread(signal(spark, bits), "42")).orderBy("idx").collect()
+        assert bytes(r.byte for r in got) == payload
+
+
 def test_haar_agrees(spark):
     x = np.array([3, 5, -1, 7, 2])
     rows = {(r.source, r.idx): r.coefficient for r in extract.haar(signal(spark, x), 2).collect()}
