@@ -29,6 +29,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 WINDOW_WORDS = 12
 LEVEL = 3
 SEGMENT_BYTES = 8_192
@@ -204,8 +206,34 @@ def _bucket(doc_id: Column, mod: int) -> Column:
     return F.crc32(doc_id.cast("string")) % mod
 
 
+def _share(lengths: list[int], chars: int) -> int:
+    """The most characters a text may give so that all together give `chars` at most."""
+    left = sorted(lengths)
+    for i, n in enumerate(left):
+        if n * (len(left) - i) > chars:
+            return chars // (len(left) - i)
+        chars -= n
+    return left[-1] if left else 0
+
+
+def spread(text: str, most: int) -> str:
+    """The text, or if it is longer than `most` characters, runs of its words from evenly spaced places that add up to no more."""
+    if len(text) <= most:
+        return text
+    words = text.split()
+    runs = [" ".join(words[i : i + WINDOW_WORDS]) for i in range(0, len(words), WINDOW_WORDS)]
+    size = max(1, min(1_000, most // 8))  # runs without white space are cut
+    runs = [r[i : i + size] for r in runs for i in range(0, len(r), size)]
+    low, high = 0, len(runs)
+    while low < high:  # the most runs that fit
+        k = (low + high + 1) // 2
+        low, high = (k, high) if sum(len(runs[(2 * i + 1) * len(runs) // (2 * k)]) + 1 for i in range(k)) - 1 <= most else (low, k - 1)
+    return " ".join(runs[(2 * i + 1) * len(runs) // (2 * low)] for i in range(low))
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
     """Train on a bounded sample: at most `rows` labelled documents of either class, and `chars` characters, by hash order.
+    Texts are whole unless all together are longer than `chars`; then the longest give runs of words from evenly spaced places.
 
     docs: doc_id, text. labels: doc_id, toxic. usable: a condition on doc_id."""
     picked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(F.lit(True) if usable is None else usable)
@@ -213,11 +241,15 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows:
     order = F.xxhash64(F.col("doc_id"))
     each = [picked.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(rows) for k in (1, 0)]
     sample = F.broadcast(each[0].unionByName(each[1]))  # at most 2 * rows ids
-    most = chars // (2 * rows)
-    got = docs.select("doc_id", "text").join(sample, "doc_id").where(F.length("text") > 0)
-    # Beyond the bound on characters a text gives its windows from evenly spaced places.
-    got = got.select("doc_id", "toxic", F.when(F.length("text") <= 8 * most, F.col("text")).otherwise(F.concat(F.substring("text", 1, 4 * most), F.lit(" "), F.expr(f"right(text, {4 * most})"))).alias("text"))
-    found = got.dropDuplicates(["toxic", "text"]).orderBy(order, "doc_id").collect()
+    got = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").where(F.length("text") > 0)
+    got = common.stored(got.select("doc_id", "toxic", "text").dropDuplicates(["toxic", "text"]), "sample")
+    most = _share([r.n for r in got.select(F.length("text").alias("n")).collect()], chars)
+
+    def thinned(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([spread(t, most) for t in b.column("text").to_pylist()], pa.string())], names=["doc_id", "toxic", "text"])
+
+    found = got.mapInArrow(thinned, got.schema).orderBy(order, "doc_id").collect()
     return train([r.text for r in found if r.toxic], [r.text for r in found if not r.toxic])
 
 
@@ -248,8 +280,6 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from the labelled rows that are not held out."""
-    from . import common
-
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     model = fit(docs, labels, _bucket(F.col("doc_id"), 5) != 0)
     return score(docs, model).select("doc_id", F.coalesce(_bucket(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -173,6 +173,21 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, model).count() == 0 and toxicity.fit(empty, labels).score("x") == 0
 
 
+def test_toxicity_trains_on_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda toxic, ordinary: seen.append((toxic, ordinary)))
+    middle = "calm " * 4_000 + "rotten scum here " + "calm " * 4_000
+    d = table(spark, [(0, middle, "en", "s"), (1, "calm " * 9, "en", "s"), (2, "".join(f"w{i} " for i in range(9_000)), "en", "s"), (3, "x" * 50_000, "en", "s")])
+    labels = spark.createDataFrame([(0, 1, 1), (1, 1, 0), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    toxicity.fit(d, labels)
+    assert seen[0][0] == [middle]
+    toxicity.fit(d, labels, chars=20_000)
+    texts = sum(seen[1], [])
+    assert "calm " * 9 in texts and 18_000 < sum(map(len, texts)) <= 20_000
+    numbers = [int(w[1:]) for t in texts if t.startswith("w") for w in t.split()]
+    assert all(any(k * 500 <= n < (k + 1) * 500 for n in numbers) for k in range(18))
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(6)
     x = r.normal(size=(300, 8)).astype(np.float32)
