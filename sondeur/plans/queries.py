@@ -15,6 +15,8 @@ from . import analyze
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 BITS, RATE = 16, 8000
+#: Frames to a file made from the events signal.
+FRAMES = 65_536
 
 # --- The adapters in SQL.
 _WRAP = "((({0}) + 32768) & 65535) - 32768"
@@ -243,12 +245,17 @@ _per("demodulated", _nor, lambda x, r: [(k, spectral.demodulate(k, x, r, 300)) f
 
 
 def _wavs(spark: SparkSession, d: str) -> DataFrame:
-    """A file made from the first 4000 frames of the events signal, with a payload after its end."""
+    """Files made from the whole events signal, one for each FRAMES frames, with a payload after the end of each."""
     import numpy as np
+    import pandas as pd
 
-    rows = tables.sig_events(spark, d).where("idx < 4000").orderBy("idx", "ch").toPandas()  # 8000 rows at most
-    x = rows.pivot(index="idx", columns="ch", values="raw").dropna().to_numpy().astype(np.int64)
-    return spark.createDataFrame([("events.wav", bytearray(wav.build(x, RATE, 16, trailer=b"PAYLOAD flag{after_the_end}")))], "path string, content binary")
+    def built(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows.sort_values("idx")[["l", "r"]].to_numpy().astype(np.int64)
+        return pd.DataFrame({"path": [f"events_{key[0]}.wav"], "content": [wav.build(x, RATE, 16, trailer=b"PAYLOAD flag{after_the_end}")]})
+
+    e = tables.sig_events(spark, d)
+    l, r = (e.where(F.col("ch") == c).select("idx", F.col("raw").alias(n)) for c, n in ((0, "l"), (1, "r")))
+    return l.join(r, "idx").groupBy(F.expr(f"idx div {FRAMES}").alias("block")).applyInPandas(built, "path string, content binary")
 
 
 add("wav_roundtrip", lambda s, d: wav.samples(wav.files(_wavs(s, d))).groupBy("signal_id", "ch").agg(F.count(F.lit(1)).alias("n"), F.sum("raw").alias("total")))
