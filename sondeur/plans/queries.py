@@ -123,6 +123,8 @@ add("hexdump", lambda s, d: B.hexdump(docs(s, d)).select("id", "at", "hex"), f"W
 _LOW, _UP = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 add("rot13", lambda s, d: tables.read(s, d, "benchmark").select("item_id", B.rotate(F.col("text"), 13).alias("text")), f"SELECT item_id, translate(text, '{_LOW}{_UP}', '{_LOW[13:]}{_LOW[:13]}{_UP[13:]}{_UP[:13]}') AS text FROM benchmark")
 add("caesar_all", lambda s, d: tables.read(s, d, "benchmark").select("item_id", F.posexplode(F.array(*[B.rotate(F.substring("text", 1, 200), k) for k in range(1, 26)])).alias("k", "text")).select("item_id", (F.col("k") + 1).alias("shift"), "text"), " UNION ALL ".join(f"SELECT item_id, {k}::INT AS shift, translate(substr(text, 1, 200), '{_LOW}{_UP}', '{_LOW[k:]}{_LOW[:k]}{_UP[k:]}{_UP[:k]}') AS text FROM benchmark" for k in range(1, 26)))
+# The SQL of caesar_all takes 200 characters of each text; these are whole.
+add("caesar_whole", lambda s, d: tables.read(s, d, "benchmark").select("item_id", F.posexplode(F.array(*[B.rotate(F.col("text"), k) for k in range(1, 26)])).alias("k", "text")).select("item_id", (F.col("k") + 1).alias("shift"), "text"))
 add("xor_key_rank", lambda s, d: r4(B.xor_ranks(turns(s, d)), "ratio"), f"""WITH {CONVERSATIONS}, {_BYTES}, n AS (SELECT id, byte, count(*) AS n FROM h GROUP BY ALL), k AS (SELECT id, k.k AS xor_key, sum(CASE WHEN xor(byte, k.k) BETWEEN 32 AND 126 OR xor(byte, k.k) IN (9, 10, 13) THEN n ELSE 0 END) / sum(n) AS ratio FROM n, (SELECT unnest(range(256))::INT AS k) k GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ratio DESC, xor_key) AS rank FROM k) SELECT id, rank::INT AS rank, xor_key, round(ratio, 4) AS ratio FROM r WHERE rank <= 3""")
 add("gray_bytes", lambda s, d: turns(s, d).select("id", F.hex(B.gray_bytes(F.col("data"))).alias("hex")), f"WITH {CONVERSATIONS}, {_BYTES}, g1 AS (SELECT id, i, xor(byte, byte >> 1) AS v FROM h), g2 AS (SELECT id, i, xor(v, v >> 2) AS v FROM g1), g3 AS (SELECT id, i, xor(v, v >> 4) AS v FROM g2) SELECT id, string_agg(lpad(hex(v), 2, '0'), '' ORDER BY i) AS hex FROM g3 GROUP BY id")
