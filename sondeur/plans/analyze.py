@@ -21,7 +21,7 @@ DECODED = ("_b9_", "s256", "dwt")
 
 @dataclass
 class Analysis:
-    """Tables with path in each: meta, ranked, profile, signals, sigint."""
+    """Tables with path in each: meta, ranked, signals, sigint."""
 
     meta: DataFrame
     ranked: DataFrame
@@ -76,7 +76,7 @@ def sigint(x: np.ndarray, rate: int, flag: str | None = None, depth: int = 2) ->
         data = spectral.demodulate(name, x, rate, spectral.symbol_rate(x, rate), found[0][0] if found else 1000.0, mark, space)
         if len(data) < 4:
             continue
-        for path, d, c in [(["demod_raw"], data, score)] + [(r["path"], r["data"], score * max(0.0, 1 - 0.1 * r["entropy"] / 8)) for r in decode.decode_all(data, depth - 1, flag=flag)]:
+        for path, d, c in [(["demod_raw"], data, score)] + [(r["path"], r["data"], score * max(0.0, 1 - 0.1 * r["entropy"] / 8)) for r in decode.decode_all(data, depth, flag=flag)]:
             if d not in seen:
                 seen.add(d)
                 for h in files.pattern_hits(d):

@@ -164,6 +164,18 @@ def test_analysis(spark, tmp_path):
     assert {r.place for r in analyze.flag_search(binary).collect()} >= {"lsb_ch0"}
 
 
+def test_demodulated_data_is_decoded_three_times(monkeypatch):
+    import base64
+
+    coded = b"flag{three_layers_deep}"
+    for _ in range(3):
+        coded = base64.b64encode(coded)
+    monkeypatch.setattr(spectral, "detected", lambda *a: [("ASK", 0.9)])
+    monkeypatch.setattr(spectral, "demodulate", lambda *a: coded)
+    found = analyze.sigint(np.sin(np.arange(4_000)), 8000)
+    assert any(k == "finding" and "flag{three_layers_deep}" in v and "base64 > base64 > base64" in v for k, _, v, _ in found)
+
+
 def test_plugins(spark):
     r = plugins.Registry()
     r.register(plugins.ScannerPlugin("Marks", scan=lambda d: [("mark", d.index(b"!"), "!")] if b"!" in d else []))
