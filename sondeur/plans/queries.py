@@ -94,6 +94,7 @@ _API = scan.INTELLIGENCE["API Key Candidate"][0].replace("'", "''")
 add("intelligence_counts", lambda s, d: scan.intelligence(docs(s, d)).where(F.col("type").isin("API Key Candidate", "Email Address", "IPv4 Address")).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 4).alias("confidence")), f"""WITH m AS (SELECT 'API Key Candidate' AS type, 0.8 AS c, unnest(regexp_extract_all(text, '{_API}')) AS v FROM documents
     UNION ALL SELECT 'Email Address', 0.95, unnest(regexp_extract_all(text, '{scan.PATTERNS["Email"]}')) FROM documents UNION ALL SELECT 'IPv4 Address', 0.9, unnest(regexp_extract_all(text, '{scan.PATTERNS["IPv4 Address"]}')) FROM documents)
     SELECT type, count(*)::BIGINT AS n, round(sum(c)::DOUBLE, 4) AS confidence FROM m GROUP BY type""")
+add("intelligence_all", lambda s, d: scan.intelligence(docs(s, d)).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 4).alias("confidence")))
 add("intelligence_planted_md5", lambda s, d: scan.intelligence(_planted(s, d)).where("type = 'Hex Hash (MD5)'").select("id", "value", F.round("confidence", 4).alias("confidence")), "SELECT doc_id AS id, 'd41d8cd98f00b204e9800998ecf8427e' AS value, 0.65::DOUBLE AS confidence FROM documents WHERE doc_id % 5 = 1")
 add("ascii_runs", lambda s, d: scan.ascii_runs(docs(s, d), 6).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars")), f"WITH {DOCUMENTS}, r AS (SELECT id, unnest(regexp_extract_all(decode(unhex(regexp_replace(hex(data), '([89A-F].)|(..)', '\\1\\2', 'g'))), '[ -~]{{6,}}')) AS t FROM s) SELECT id, count(*)::BIGINT AS n, sum(length(trim(t)))::BIGINT AS chars FROM r WHERE trim(t) <> '' GROUP BY id")
 add("ascii_run_offsets", lambda s, d: scan.ascii_runs(pages(s, d), 8))
@@ -191,7 +192,7 @@ for _lv in (1, 3):
         _prev = f"a{_k}"
     _parts.append(f"SELECT 'orders', 'dwt_ch0_cA{_lv}', idx, round(x, 3) + 0.0 FROM a{_lv}")
     add(f"haar_dwt_l{_lv}", lambda s, d, n=_lv: extract.haar(_or(s, d), n).withColumn("coefficient", F.round("coefficient", 3) + 0.0), f"WITH {ORDERS}, {', '.join(_h)} {' UNION ALL '.join(_parts)}")
-add("haar_dwt_l8", lambda s, d: extract.haar(_or(s, d), 8).groupBy("source").agg(F.count(F.lit(1)).alias("n")))
+add("haar_dwt_l8", lambda s, d: extract.haar(_or(s, d), 8).withColumn("coefficient", F.round("coefficient", 3) + 0.0))
 
 # --- Statistics and demodulation.
 _nev = lambda s, d: windows.normalised(extract.centred(_ev(s, d)))
@@ -209,6 +210,7 @@ add("channel_corr", lambda s, d: r4(windows.channel_correlation(_nev(s, d)), "co
 add("silence_segments", lambda s, d: windows.silence(windows.normalised(tables.sig_user(s, d)), 100, -20.0, 0.02).select("signal_id", "ch", F.round("start_s", 4).alias("start_s"), F.round("end_s", 4).alias("end_s")))
 add("autocorrelation", lambda s, d: r4(windows.autocorrelation(windows.normalised(tables.sig_user(s, d)), 16), "r"), f"""WITH {USERS}, {NORM.format('sig')}, m AS (SELECT signal_id, avg(norm) AS m, count(*) AS k FROM n GROUP BY signal_id), x AS (SELECT n.signal_id, idx, norm - m AS x, CASE WHEN k < 32 THEN k // 4 ELSE 16 END AS l FROM n JOIN m ON m.signal_id = n.signal_id),
     p AS (SELECT a.signal_id, b.idx - a.idx AS lag, sum(a.x * b.x) AS s FROM x a JOIN x b ON b.signal_id = a.signal_id AND b.idx BETWEEN a.idx AND a.idx + a.l GROUP BY ALL) SELECT p.signal_id, 0::INT AS ch, p.lag::INT AS lag, round(CASE WHEN z.s > 0 THEN p.s / z.s ELSE 0.0 END, 4) + 0.0 AS r FROM p JOIN p z ON z.signal_id = p.signal_id AND z.lag = 0""")
+add("autocorrelation_512", lambda s, d: r4(windows.autocorrelation(windows.normalised(tables.sig_user(s, d))), "r"))
 _CROSS = "k AS (SELECT *, lag(norm) OVER (PARTITION BY signal_id, ch ORDER BY idx) AS p FROM n), x AS (SELECT signal_id, ch, idx FROM k WHERE (norm >= 0) <> (p >= 0)), i AS (SELECT *, idx - lag(idx) OVER (PARTITION BY signal_id, ch ORDER BY idx) AS gap FROM x)"
 add("crossing_intervals", lambda s, d: windows.crossing_intervals(_nev(s, d)), f"WITH {_NEV}, {_CROSS} SELECT signal_id, ch, idx AS at, gap AS \"interval\" FROM i WHERE gap IS NOT NULL")
 add("nrz_score", lambda s, d: r4(windows.nrz_score(_nev(s, d)), "share", "score"), f"WITH {_NEV}, {_CROSS}, g AS (SELECT * FROM i WHERE gap IS NOT NULL), b AS (SELECT signal_id, ch, quantile_cont(gap, 0.1) AS base, count(*) AS k FROM g GROUP BY ALL), s AS (SELECT g.signal_id, g.ch, avg((abs(gap / base - round_even(gap / base, 0)) < 0.25)::INT::DOUBLE) AS share, max(k) AS k FROM g JOIN b ON b.signal_id = g.signal_id AND b.ch = g.ch GROUP BY ALL) SELECT signal_id, ch, round(share, 4) AS share, CASE WHEN k + 1 >= 15 AND share > 0.7 THEN round(share, 4) ELSE 0.0 END AS score FROM s")
