@@ -205,22 +205,51 @@ def test_neighbours(spark):
     assert neighbours.nearest(few.limit(0), lambda i: i % 50 == 0).count() == 0
 
 
-def test_recall_of_neighbours_as_registered(spark):
+def recall(t, every):
+    rows = [(x.vec_id, x.embedding) for x in t.select("vec_id", "embedding").collect()]
+    ids, x = np.array([i for i, _ in rows]), neighbours.unit(np.array([v for _, v in rows], float))
+    got = {}
+    for g in neighbours.nearest(t, lambda i: i % every == 0).collect():
+        got.setdefault(g.query_id, set()).add(g.vec_id)
+    hits = []
+    for k in np.flatnonzero(ids % every == 0):
+        s = x @ x[k]
+        s[k] = -2
+        hits.append(len(set(ids[np.argsort(-s)[:5]].tolist()) & got[ids[k]]))
+    return sum(hits) / 5 / len(hits)
+
+
+@pytest.mark.parametrize("kind", ["isotropic 1200", "isotropic 6000", "groups", "sf0.01", "sf0.1"])
+def test_recall_of_neighbours_as_registered(spark, kind):
     r = np.random.default_rng(9)
-    made = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(1_200, 64)))], "vec_id long, embedding array<float>")
-    tables = [made] + ([spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")] if os.path.isdir("/root/testdata/sf0.1") else [])
-    for t in tables:
-        rows = [(x.vec_id, x.embedding) for x in t.select("vec_id", "embedding").collect()]
-        ids, x = np.array([i for i, _ in rows]), neighbours.unit(np.array([v for _, v in rows], float))
+    if kind.startswith("sf"):
+        if not os.path.isdir(f"/root/testdata/{kind}"):
+            pytest.skip("no test tables")
+        t = spark.read.parquet(f"/root/testdata/{kind}/embeddings.parquet")
+    else:
+        x = r.normal(size=(int(kind.split()[1]), 64)) if kind != "groups" else (r.normal(size=(200, 64)) + 0.3 * r.normal(size=(20, 200, 64))).reshape(-1, 64)
+        t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert recall(t, 8) >= 0.9
+
+
+def test_vectors_in_groups_need_a_small_share():
+    r = np.random.default_rng(4)
+    x = neighbours.unit((r.normal(size=(200, 64)) + 0.3 * r.normal(size=(20, 200, 64))).reshape(-1, 64))
+    assert neighbours.searched(neighbours.fit(x, 6, 8), x, 5) < 0.05
+    assert neighbours.searched(neighbours.fit(x[:500], 3, 8), neighbours.unit(r.normal(size=(500, 64))), 5) is None
+
+
+def test_neighbours_of_odd_vectors(spark):
+    """Clashing and extra columns, negative zeros, components whose squares overflow, the same vector under many ids, leaves in chunks."""
+    rows = [(0, [2.0**700, 2.0**700, 0.0], 1, 9.0), (1, [2.0**-700, 2.0**-700, -0.0], 2, 9.0), (2, [1.0, 1.0, 0.0], 3, 9.0), (50, [1.0, 1.0, -0.0], 3, 9.0), (3, [0.0, 0.0, 5.0], 4, 9.0)] + [(100 + i, [0.0, 0.0, 5.0], 0, 0.0) for i in range(400)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>, p int, score double")
+    for how in ({}, {"together": 2, "leaf": 2}):
         got = {}
-        for g in neighbours.nearest(t, lambda i: i % 4 == 0).collect():
-            got.setdefault(g.query_id, set()).add(g.vec_id)
-        hits = []
-        for k in np.flatnonzero(ids % 4 == 0):
-            s = x @ x[k]
-            s[k] = -2
-            hits.append(len(set(ids[np.argsort(-s)[:5]].tolist()) & got[ids[k]]))
-        assert sum(hits) / 5 / len(hits) >= 0.9
+        for g in neighbours.nearest(t, lambda i: i % 50 == 0, **how).collect():
+            got.setdefault(g.query_id, {})[g["rank"]] = (g.vec_id, round(g.score, 12))
+        assert [got[0][k] for k in range(1, 6)] == [(1, 1.0), (2, 1.0), (50, 1.0), (3, 0.0), (100, 0.0)]
+        assert [got[50][k][0] for k in range(1, 4)] == [0, 1, 2]
+        assert [got[100][k] for k in range(1, 6)] == [(i, 1.0) for i in (3, 101, 102, 103, 104)] and sorted(got) == [0, 50, *range(100, 500, 50)]
 
 
 def test_packing(spark, docs, empty):
