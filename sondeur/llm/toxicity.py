@@ -2,11 +2,16 @@
 text, one on ordinary text; a window is toxic when the toxic dictionary makes
 it clearly shorter.
 
-Both dictionaries hold the same ordinary text at the same distance from the
-window, so an ordinary window has (nearly) the same length under both. In
-front of it one carries segments typical of toxic documents, the other
-segments typical of ordinary ones. Windows are whole words, follow each other
-without gaps and cover the whole text.
+The ordinary dictionary is trained on all windows of ordinary texts. Toxic
+texts are ordinary for the most part, so a dictionary of their windows would
+hold the same; zstandard trains the toxic one on the pieces of their words (the
+words and starts of words) that are typical of them by likelihood ratio, once
+for each occurrence. It stands in front of the ordinary dictionary's bytes, and
+as many bytes that match nothing stand in front of them for the ordinary model,
+so an ordinary window has (nearly) the same length under both. Windows are whole
+words, follow each other without gaps and cover the whole text. Thresholds are
+those of a logistic regression on windows' gains in texts that the dictionaries
+were not trained on.
 
 Defined results: a null or empty text, or one of white space alone, has no
 window and scores the score of "no evidence" (all window gains zero). Repeated rows score alike. A document whose
@@ -33,11 +38,12 @@ from . import common
 
 WINDOW_WORDS = 12
 LEVEL = 3
-SEGMENT_BYTES = 8_192
-COMMON_BYTES = 12_288
-#: Bound of the training sample: rows of either class, and characters in all.
+#: Bytes of the dictionaries; the toxic one stands in front of the ordinary one's bytes.
+TOXIC_BYTES, ORDINARY_BYTES = 4_096, 12_288
+#: Parameters of zstandard's training: length of segments, and of what is counted in them.
+SEGMENT, COUNTED = 16, 6
+#: Bound of the training sample: rows of either class, with whole texts.
 TRAIN_ROWS = 1_500
-TRAIN_CHARS = 9_000_000
 
 
 def windows(text: str | None, size: int = WINDOW_WORDS) -> list[bytes]:
@@ -46,22 +52,31 @@ def windows(text: str | None, size: int = WINDOW_WORDS) -> list[bytes]:
     return [f" {' '.join(words[i : i + size])} ".encode() for i in range(0, len(words), size)]
 
 
+def _pieces(word: str) -> list[str]:
+    """Starts of a word, and the whole of it."""
+    return [f" {word[:n]}" for n in (4, 5, 6, 8) if len(word) > n] + ([f" {word} "] if 3 < len(word) < 24 else [])
+
+
+def _words(text: str) -> list[str]:
+    return re.findall(r"\w+", text.lower())
+
+
 def _counted(texts: list[str]) -> Counter:
-    """Starts of words and whole words, counted once for each word that comes before them, so that copies of a document count once."""
-    pairs = set()
+    """Pieces, counted once for each word that comes before theirs, so that copies of a document count once."""
+    out, seen = Counter(), set()
     for t in texts:
         before = ""
-        for w in re.findall(r"\w+", t.lower()):
-            for n in (4, 5, 6, 8):
-                if len(w) > n:
-                    pairs.add((f" {w[:n]}", before))
-            if 3 < len(w) < 24:
-                pairs.add((f" {w} ", before))
+        for w in _words(t):
+            for s in _pieces(w):
+                pair = hash((s, before))  # 8 bytes instead of two strings
+                if pair not in seen:
+                    seen.add(pair)
+                    out[s] += 1
             before = w
-    return Counter(s for s, _ in pairs)
+    return out
 
 
-def _segments(toxic: list[str], ordinary: list[str], limit: int) -> bytes:
+def typical(toxic: list[str], ordinary: list[str]) -> set[str]:
     """The shortest pieces whose counts differ beyond chance (likelihood ratio) and tenfold in rate, in toxic text's favour."""
     a, b = _counted(toxic), _counted(ordinary)
     n, m = max(1, sum(a.values())), max(1, sum(b.values()))
@@ -73,42 +88,34 @@ def _segments(toxic: list[str], ordinary: list[str], limit: int) -> bytes:
             r = (k + j) / (n + m)
             g2 = 2 * (k * math.log(k / n / r) + (j * math.log(j / m / r) if j else 0))
             if g2 > least:
-                rank.append((-len(s), g2, s))
-    words = [s for _, _, s in rank if s.endswith(" ")]
+                rank.append((len(s), s))
+    words = [s for _, s in rank if s.endswith(" ")]
     under = Counter(w[:i] for w in words for i in (5, 6, 7) if len(w) > i + 1)
     # A start that many typical words share stands for them: their tails are ordinary and would shorten ordinary windows too.
-    starts = {s for _, _, s in rank if under[s] >= 4}
-    inside: set[str] = set()  # starts of segments that are already taken
-    chosen: list[tuple[float, str]] = []
-    for _, g2, s in sorted(rank):
-        if s not in inside and not any(s[:i] in starts for i in (5, 6, 7) if i < len(s)) or s in starts:
-            chosen.append((-g2, s))
+    starts = {s for _, s in rank if under[s] >= 4}
+    chosen: set[str] = set()
+    inside: set[str] = set()  # starts of pieces that are already taken
+    for _, s in sorted(rank, key=lambda x: (-x[0], x[1])):
+        if s in starts or s not in inside and not any(s[:i] in starts for i in (5, 6, 7) if i < len(s)):
+            chosen.add(s)
             inside.update(s[:i] for i in range(4, len(s)))
-    out: list[bytes] = []
-    size = 0
-    for _, s in sorted(chosen):
-        size += len(s.encode()) + 1
-        if size > limit:
-            break
-        out.append(s.encode())
-    return b"\x01".join(reversed(out)) + b"\x01"
+    return chosen
 
 
-def _common(texts: list[str], limit: int) -> bytes:
-    """Ordinary text: an equal share of windows from each document, then the most frequent words, nearest the window."""
-    words = Counter(w for t in texts for w in t.lower().split())
-    frequent = " ".join(w for w, _ in reversed(words.most_common(2_500)))[-limit // 2 :].encode()
-    room, out = limit - len(frequent), []
-    per = max(1, room // max(1, len(texts)))
-    for t in texts:
-        w = windows(t, 1 << 30)
-        out.append(w[0][:per] if w else b"")
-    return b"".join(out)[:room] + b" " + frequent + b" "
+def evidence(texts: list[str], pieces: set[str]) -> list[bytes]:
+    """The longest typical piece of every word that has one, as a sample for training. First comes one of each piece, then another, for zstandard stops when a stretch of samples brings nothing new."""
+    found = Counter(max((s for s in _pieces(w) if s in pieces), key=len, default="") for t in texts for w in _words(t))
+    each = sorted((n, s) for s, n in found.items() if s)[::-1]
+    return [s.encode().ljust(SEGMENT, b"\x01") for i in range(each[0][0] if each else 0) for n, s in each if n > i]
 
 
-def _padded(segments: bytes, limit: int) -> bytes:
-    """To exactly `limit` bytes, so that what follows has the same offsets in both dictionaries."""
-    return segments[-limit:].rjust(limit, b"\x01")
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary of at most `size` bytes; zstandard puts what it finds most useful last. Too few samples to train on are the dictionary themselves."""
+    fit_ = [s for s in samples if len(s) >= 8]
+    try:
+        return zstandard.train_dictionary(size, fit_, k=SEGMENT, d=COUNTED).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
 @dataclass
@@ -130,7 +137,7 @@ class Model:
             made = []
             for content in (self.ordinary, self.toxic):
                 d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                params = zstandard.ZstdCompressionParameters.from_level(LEVEL, window_log=17, min_match=4, strategy=zstandard.STRATEGY_LAZY2, hash_log=16, chain_log=16, search_log=5, write_content_size=False, write_dict_id=False)
+                params = zstandard.ZstdCompressionParameters.from_level(LEVEL, window_log=17, min_match=5, strategy=zstandard.STRATEGY_LAZY2, hash_log=16, chain_log=16, search_log=5, write_content_size=False, write_dict_id=False)
                 d.precompute_compress(compression_params=params)
                 made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
             self._pair = tuple(made)
@@ -139,7 +146,7 @@ class Model:
     def gains(self, pieces: list[bytes]) -> np.ndarray:
         """Bytes that the toxic dictionary saves on each window."""
         a, b = (c.compress for c in self._compressors())
-        return np.fromiter((len(a(p)) - len(b(p)) for p in pieces), dtype=np.int16, count=len(pieces))
+        return np.fromiter((len(a(p)) - len(b(p)) for p in pieces), dtype=np.int64, count=len(pieces))
 
     def features(self, text: str | None) -> np.ndarray:
         """Largest gain, mean gain over 1 byte, how far the gains' sum stands out, and the number of windows (more windows, more chance gains)."""
@@ -187,8 +194,9 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
         return Model()
 
     def built(a: list[str], b: list[str]) -> Model:
-        common = _common(b, COMMON_BYTES)
-        return Model(_padded(_segments(a, b, SEGMENT_BYTES), SEGMENT_BYTES) + common, _padded(b"", SEGMENT_BYTES) + common)
+        plain = trained([w for t in b for w in windows(t)], ORDINARY_BYTES)
+        own = trained(evidence(a, typical(a, b)), TOXIC_BYTES)
+        return Model(own.rjust(TOXIC_BYTES, b"\x01") + plain, b"\x01" * TOXIC_BYTES + plain)
 
     xs, ys = [], []
     split = lambda x, inside: [t for i, t in enumerate(x) if (i % 3 != 0) == inside]
@@ -206,56 +214,33 @@ def _bucket(doc_id: Column, mod: int) -> Column:
     return F.crc32(doc_id.cast("string")) % mod
 
 
-def _share(lengths: list[int], chars: int) -> int:
-    """The most characters a text may give so that all together give `chars` at most."""
-    left = sorted(lengths)
-    for i, n in enumerate(left):
-        if n * (len(left) - i) > chars:
-            return chars // (len(left) - i)
-        chars -= n
-    return left[-1] if left else 0
-
-
-def spread(text: str, most: int) -> str:
-    """The text, or if it is longer than `most` characters, runs of its words from evenly spaced places that add up to no more."""
-    if len(text) <= most:
-        return text
-    words = text.split()
-    runs = [" ".join(words[i : i + WINDOW_WORDS]) for i in range(0, len(words), WINDOW_WORDS)]
-    size = max(1, min(1_000, most // 8))  # runs without white space are cut
-    runs = [r[i : i + size] for r in runs for i in range(0, len(r), size)]
-    low, high = 0, len(runs)
-    while low < high:  # the most runs that fit
-        k = (low + high + 1) // 2
-        low, high = (k, high) if sum(len(runs[(2 * i + 1) * len(runs) // (2 * k)]) + 1 for i in range(k)) - 1 <= most else (low, k - 1)
-    return " ".join(runs[(2 * i + 1) * len(runs) // (2 * low)] for i in range(low))
-
-
-def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
-    """Train on a bounded sample: at most `rows` labelled documents of either class, and `chars` characters, by hash order.
-    Texts are whole unless all together are longer than `chars`; then the longest give runs of words from evenly spaced places.
+def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows: int = TRAIN_ROWS) -> Model:
+    """Train, in one task, on a bounded sample: at most `rows` labelled documents of either class, by hash order, with their whole texts.
 
     docs: doc_id, text. labels: doc_id, toxic. usable: a condition on doc_id."""
+    common.ship(docs.sparkSession)
     picked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(F.lit(True) if usable is None else usable)
     picked = picked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("doc_id"))
     each = [picked.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(rows) for k in (1, 0)]
     sample = F.broadcast(each[0].unionByName(each[1]))  # at most 2 * rows ids
     got = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").where(F.length("text") > 0)
-    got = common.stored(got.select("doc_id", "toxic", "text").dropDuplicates(["toxic", "text"]), "sample")
-    most = _share([r.n for r in got.select(F.length("text").alias("n")).collect()], chars)
+    got = got.select(order.alias("o"), "toxic", "text").dropDuplicates(["toxic", "text"])
 
-    def thinned(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([spread(t, most) for t in b.column("text").to_pylist()], pa.string())], names=["doc_id", "toxic", "text"])
+    def learned(batches):
+        found = sorted((o, t, y) for b in batches for o, y, t in zip(*(b.column(c).to_pylist() for c in ("o", "toxic", "text"))))
+        m = train([t for _, t, y in found if y], [t for _, t, y in found if not y])
+        del found
+        yield pa.RecordBatch.from_arrays([pa.array([m.toxic], pa.binary()), pa.array([m.ordinary], pa.binary()), pa.array([m.weights], pa.list_(pa.float64()))], names=["toxic", "ordinary", "weights"])
+        common.release()
 
-    found = got.mapInArrow(thinned, got.schema).orderBy(order, "doc_id").collect()
-    return train([r.text for r in found if r.toxic], [r.text for r in found if not r.toxic])
+    r = got.repartition(1).mapInArrow(learned, "toxic binary, ordinary binary, weights array<double>").first()  # 2 * rows texts at most
+    return Model(bytes(r.toxic), bytes(r.ordinary), list(r.weights)) if r else Model()
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted of every whole text; score is 0 to 1, predicted 1 from 0.5."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of 20 kB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of 14 kB
 
     def scored(batches):
         m = shared.value

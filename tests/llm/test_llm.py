@@ -173,19 +173,32 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, model).count() == 0 and toxicity.fit(empty, labels).score("x") == 0
 
 
-def test_toxicity_trains_on_whole_texts(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(toxicity, "train", lambda toxic, ordinary: seen.append((toxic, ordinary)))
-    middle = "calm " * 4_000 + "rotten scum here " + "calm " * 4_000
-    d = table(spark, [(0, middle, "en", "s"), (1, "calm " * 9, "en", "s"), (2, "".join(f"w{i} " for i in range(9_000)), "en", "s"), (3, "x" * 50_000, "en", "s")])
-    labels = spark.createDataFrame([(0, 1, 1), (1, 1, 0), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
-    toxicity.fit(d, labels)
-    assert seen[0][0] == [middle]
-    toxicity.fit(d, labels, chars=20_000)
-    texts = sum(seen[1], [])
-    assert "calm " * 9 in texts and 18_000 < sum(map(len, texts)) <= 20_000
-    numbers = [int(w[1:]) for t in texts if t.startswith("w") for w in t.split()]
-    assert all(any(k * 500 <= n < (k + 1) * 500 for n in numbers) for k in range(18))
+def test_toxicity_trains_on_whole_texts(spark):
+    r = random.Random(6)
+    say = lambda n: " ".join(r.choices(WORDS, k=n))
+    rows = [(i, say(3_000) + f" rotten {'scummy' if i % 2 else 'vile'} " + say(3_000) if i % 2 == 0 or i % 3 == 0 else say(400), "en", "s") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, int(i % 2 == 0 or i % 3 == 0)) for i in range(60)] + [(0, 1, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(table(spark, rows), labels)
+    assert b" rotten " in model.toxic and b" rotten " not in model.ordinary and model.toxic[-5_000:] == model.ordinary[-5_000:]
+    assert model.gains([b" that was for on are rotten with as his they be at "])[0] > 0
+
+
+def test_gains_are_differences_of_lengths():
+    """Against plain compression with each dictionary, of long windows too."""
+    import zstandard
+
+    r = random.Random(7)
+    say = lambda n, bad: " ".join(r.choice(["rotten", "scummy"]) if bad and r.random() < 0.1 else w for w in r.choices(WORDS, k=n))
+    model = toxicity.train([say(80, True) for _ in range(40)], [say(80, False) for _ in range(40)])
+    pieces = [*toxicity.windows(say(90, True)), b"x" * 300_000, b" rotten " * 20_000, b""]
+    for piece, gain in zip(pieces, model.gains(pieces)):
+        size = []
+        for content in (model.ordinary, model.toxic):
+            how = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, window_log=17, min_match=5, strategy=zstandard.STRATEGY_LAZY2, hash_log=16, chain_log=16, search_log=5, write_content_size=False, write_dict_id=False)
+            packed = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how).compress(piece)
+            size.append(len(packed))
+        assert gain == size[0] - size[1]
+    assert b" ".join(w.strip() for w in toxicity.windows("A b\u00a0c  d\ne " * 50)).split() == ("a b c d e " * 50).encode().split()
 
 
 def test_neighbours(spark):
