@@ -2,8 +2,9 @@
 
 A document's fingerprint has bit i set when more than half of its word
 shingles' XXH64 hashes have it. Distinct fingerprints are the tree's points.
-Each level of the tree measures the Hamming distance to one vantage point
-within one block of bits. That is a pseudo-metric below the full distance, so
+Each level of the tree measures the Hamming distance to its vantage point
+within one block of bits; the vantage point is the fingerprint of a bounded
+sample whose distances to the others differ most. That is a pseudo-metric below the full distance, so
 by the triangle inequality two fingerprints at distance d have vantage
 distances that differ by at most d, and over disjoint blocks the differences
 add up to at most d. The first levels make the shards: each fingerprint is a
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SEED = 42
-#: The vantage point: any fixed value does.
-VANTAGE = 0x5DEECE66D1CE4E5B
+#: Fingerprints that vantage points are chosen from, and by.
+SAMPLE = 1_000
 #: Members that a shard should hold on average, from which the number of levels that make shards follows.
 SHARD_MEMBERS = 20_000
 #: Similarity (a fraction) from which sets of shingles are near copies for dedup(), and buckets in which it counts shingles.
@@ -84,13 +85,29 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def _levels(n: int, members: int) -> int:
-    """Blocks of 16 bits whose vantage distances make the shards: a level divides a shard by about 7."""
+    """Blocks of bits whose vantage distances make the shards: a level divides a shard by 6 or 7. Eight make about two million, enough for 4e10 fingerprints."""
     k = 1
-    while k < 4 and n / 7**k > members:
+    while k < 8 and n / 6.5**k > members:
         k += 1
     return k
 
 
+def _masks(levels: int) -> list[int]:
+    """The blocks of bits."""
+    cuts = [64 * k // levels for k in range(levels + 1)]
+    return [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
+
+
+def vantage(sample: np.ndarray, masks: list[int]) -> int:
+    """The vantage points of all levels as one number: from each block the bits of the point whose distances within it vary most."""
+    out = 0
+    for mask in masks:
+        d = np.bitwise_count((sample[:64, None] ^ sample[None, :]) & np.uint64(mask))
+        best = int(sample[int(d.var(axis=1).argmax())]) if len(sample) else 0
+        out |= best & mask
+    return out
+
+
 def _shifts(levels: int, radius: int) -> list[tuple[int, ...]]:
     """Moves to the shards that a query visits: differences that add up to `radius` at most, each pair of shards once."""
     out: list[tuple[int, ...]] = [()]
@@ -115,10 +132,10 @@ def _hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def _search(x: np.ndarray, q: np.ndarray, m: np.ndarray, radius: int, label: np.ndarray) -> None:
+def _search(x: np.ndarray, q: np.ndarray, m: np.ndarray, radius: int, label: np.ndarray, point: int) -> None:
     """Link every pair of a place in q and one in m at a distance up to `radius`: descend both sides of the tree together."""
     block = np.uint64(0xFF)
-    shells = np.stack([np.bitwise_count((x ^ np.uint64(VANTAGE)) & (block << np.uint64(8 * k))) for k in range(8)])
+    shells = np.stack([np.bitwise_count((x ^ np.uint64(point)) & (block << np.uint64(8 * k))) for k in range(8)])
     todo = [(q, m, 0, radius)]
     while todo:
         a, b, level, left = todo.pop()
@@ -142,12 +159,14 @@ def _search(x: np.ndarray, q: np.ndarray, m: np.ndarray, radius: int, label: np.
 def edges(distinct: DataFrame, n: int, radius: int = 3, members: int = SHARD_MEMBERS) -> DataFrame:
     """a, b: a forest over the fp of `distinct` whose trees hold all links within `radius` of each shard and its neighbours."""
     levels = _levels(n, members)
-    v = VANTAGE - (1 << 64) if VANTAGE >> 63 else VANTAGE
-    mask = lambda k: (m := 0xFFFF << (16 * k)) - ((1 << 64) if m >> 63 else 0)
-    shell = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(v)).bitwiseAND(F.lit(mask(k)))) for k in range(levels)]
-    code = lambda move: sum(((shell[k] + move[k] + 8) * 64**k for k in range(levels)), F.lit(0))
+    masks = _masks(levels)
+    sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    point = vantage(sample, masks)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    shell = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(point))).bitwiseAND(F.lit(signed(m)))).cast("long") for m in masks]
+    code = lambda move: sum(((shell[k] + move[k] + 8) * 128**k for k in range(levels)), F.lit(0))
     moves = [(0,) * levels, *_shifts(levels, radius)]
-    placed = F.explode(F.array(*[F.struct(code(m).cast("int").alias("shard"), F.lit(k > 0).alias("query")) for k, m in enumerate(moves)]))
+    placed = F.explode(F.array(*[F.struct(code(m).cast("long").alias("shard"), F.lit(k > 0).alias("query")) for k, m in enumerate(moves)]))
     sent = distinct.select("fp", placed.alias("at")).select("fp", "at.shard", "at.query")
 
     def linked(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -156,9 +175,9 @@ def edges(distinct: DataFrame, n: int, radius: int = 3, members: int = SHARD_MEM
         m, q = np.flatnonzero(~query), np.flatnonzero(query)
         label = np.arange(len(x))
         if len(m):
-            _search(x, m, m, radius, label)
+            _search(x, m, m, radius, label, point)
             if len(q):
-                _search(x, q, m, radius, label)
+                _search(x, q, m, radius, label, point)
         k = np.flatnonzero(label != np.arange(len(x)))
         return pd.DataFrame({"a": pdf["fp"].to_numpy()[k], "b": pdf["fp"].to_numpy()[label[k]]})
 
@@ -313,11 +332,12 @@ def dedup(docs: DataFrame, width: int = 5) -> DataFrame:
     found = sets.select("doc_id", "text_hash", "node").join(alike(sets), "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     keep = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
-    hashed = docs.withColumn("_hash_of", _text_hash(docs["text"]))
-    kept = hashed.join(keep, hashed["doc_id"].cast("long").eqNullSafe(keep["_id"]) & (hashed["_hash_of"] == keep["_hash"]), "left_semi")
+    own = common.unused(docs.columns, "_hash_of")
+    hashed = docs.withColumn(own, _text_hash(docs["text"]))
+    kept = hashed.join(keep, hashed["doc_id"].cast("long").eqNullSafe(keep["_id"]) & (hashed[own] == keep["_hash"]), "left_semi")
     repeated = found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
     # Rows that are repeated whole are of one fingerprint, and one of them stays.
-    return (kept.dropDuplicates(["doc_id", "_hash_of"]) if repeated else kept).drop("_hash_of")
+    return (kept.dropDuplicates(["doc_id", own]) if repeated else kept).drop(own)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
