@@ -170,10 +170,12 @@ def score(docs: DataFrame) -> DataFrame:
             for r in b.to_pylist():
                 g = _Grams(r["words"], r["codes"], np.array(r["sizes"], np.int64))
                 g.place = []
-                cuts = np.searchsorted(g.keys, (np.arange(1 << bits, dtype=np.uint64) << np.uint64(56 - bits)) if bits else np.zeros(1, np.uint64)).tolist() + [len(g.keys)]
-                for part, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    if hi > lo:
-                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([r["block"]]), pa.array([_pack_keys(g.keys[lo:hi])], pa.binary()), pa.array([_planes(g.counts[lo:hi])], pa.binary())], names=["part", "block", "keys", "counts"])
+                parts = (g.keys >> np.uint64(56 - bits)).astype(np.int64) if bits else np.zeros(len(g.keys), np.int64)
+                cuts = np.flatnonzero(np.diff(parts, prepend=-1)).tolist() + [len(g.keys)]  # of the parts that have n-grams of this block
+                for k in range(0, len(cuts) - 1, 64):
+                    own = list(zip(cuts[k : k + 64], cuts[k + 1 : k + 65]))
+                    columns = [pa.array(parts[[lo for lo, _ in own]].astype(np.int32)), pa.array([r["block"]] * len(own)), pa.array([_pack_keys(g.keys[lo:hi]) for lo, hi in own], pa.binary()), pa.array([_planes(g.counts[lo:hi]) for lo, hi in own], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "keys", "counts"])
 
     def counted(pdf: pd.DataFrame) -> pd.DataFrame:
         """One partition of the count table, and its answers."""
