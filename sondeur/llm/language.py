@@ -1,8 +1,8 @@
 """Language identification of mixed texts.
 
-Words are runs between spaces and line ends. A word's script (Unicode range of
-its first letter) narrows the candidate languages to those whose training text
-uses that script. Under each candidate a word scores the log-likelihood of its
+Words are runs between spaces and line ends. The scripts (Unicode ranges) of a
+word's letters narrow the candidate languages to those whose training text
+uses them. Under each candidate a word scores the log-likelihood of its
 letter n-grams. Viterbi over a text's words, with a penalty for each switch,
 labels spans; the text's language is the one whose spans hold the most letters,
 and the score is the share of letters that they hold.
@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -36,8 +36,10 @@ SCRIPTS = [
 ]
 _STARTS = [a for a, _ in SCRIPTS]
 SWITCH = 10.0
-#: Bound of the training sample: documents of one language, documents in all, and characters of each.
-TRAIN_ROWS, TRAIN_ALL, TRAIN_CHARS = 600, 6_000, 4_000
+#: Bound of the training sample: documents of one language and documents in all, as expected numbers, with their whole texts.
+TRAIN_ROWS, TRAIN_ALL = 600, 6_000
+#: Least count of an n-gram in the sample.
+LEAST = 4
 CACHE = 200_000
 #: Log-likelihood of a letter whose script the language does not use.
 EXCLUDED = -60.0
@@ -73,29 +75,29 @@ class Model:
     ranges: np.ndarray = field(default_factory=lambda: np.zeros((len(SCRIPTS), 0), bool))
 
 
-def train(texts: list[tuple[str, str]]) -> Model:
-    """texts: (language, text)."""
-    size = Counter(lang for lang, _ in texts)
+def counted(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text: its n-grams, their counts, and its letters by range of SCRIPTS."""
+    codes, at, grams = letter_grams(text.lower())
+    key, n = np.unique(grams, return_counts=True)
+    return key, n, np.bincount(scripts_of(codes[at]), minlength=len(SCRIPTS))
+
+
+def train(size: dict[str, int], totals: dict[str, int], letters: dict[str, np.ndarray], grams: dict[int, dict[str, int]]) -> Model:
+    """By language: documents, n-grams in all and letters by range; by n-gram that occurs LEAST times: its count in each language."""
     langs = sorted(size, key=lambda x: (-size[x], x))
-    counts: list[dict[int, int]] = []
+    if not langs:
+        return Model()
     used = np.zeros((len(SCRIPTS), len(langs)), bool)
     for k, lang in enumerate(langs):
-        codes, at, grams = letter_grams("\n".join(t.lower() for x, t in texts if x == lang))
-        key, n = np.unique(grams, return_counts=True)
-        counts.append(dict(zip(key.tolist(), n.tolist())))
-        by = np.bincount(scripts_of(codes[at]), minlength=len(SCRIPTS))
         share = Counter()
-        for (_, name), v in zip(SCRIPTS, by.tolist()):
+        for (_, name), v in zip(SCRIPTS, letters[lang].tolist()):
             share[name] += v
-        used[:, k] = [share[name] >= max(1, 0.01 * len(at)) for _, name in SCRIPTS]
-    total: Counter = Counter()
-    for c in counts:
-        total.update(c)
-    keys = np.array(sorted(g for g, n in total.items() if n >= 4), np.int64)
+        used[:, k] = [share[name] >= max(1, 0.01 * letters[lang].sum()) for _, name in SCRIPTS]
+    keys = np.array(sorted(grams), np.int64)
     logs = np.empty((len(keys) + 1, len(langs)), np.float32)
-    for k, c in enumerate(counts):
-        n = sum(c.values()) + 0.5 * (len(keys) + 1)
-        logs[:-1, k] = np.log((np.fromiter((c.get(g, 0) for g in keys.tolist()), float, len(keys)) + 0.5) / n)
+    for k, lang in enumerate(langs):
+        n = totals[lang] + 0.5 * (len(keys) + 1)
+        logs[:-1, k] = np.log((np.fromiter((grams[g].get(lang, 0) for g in keys.tolist()), float, len(keys)) + 0.5) / n)
         logs[-1, k] = np.log(0.5 / n)
     return Model(langs, keys, logs - logs.mean(1, keepdims=True), used)
 
@@ -158,15 +160,15 @@ def viterbi(score: np.ndarray, of: np.ndarray, bounds: np.ndarray, switch: float
     size = np.diff(bounds)
     order = np.argsort(-size, kind="stable")
     first, size = bounds[:-1][order], size[order]
-    label = np.zeros(len(of), np.int8)
+    label = np.zeros(len(of), np.int32)
     longest = int(size[0]) if len(size) else 0
     if not longest or not score.shape[1]:
         return label
     running = np.searchsorted(-size, -np.arange(longest), side="left")  # texts longer than t words
-    back = np.zeros((len(of), score.shape[1]), np.int8)
+    back = np.zeros((len(of), score.shape[1]), np.int32)
     best = score[of[first[: running[0]]]].astype(np.float64)
-    stay = np.arange(score.shape[1], dtype=np.int8)
-    ends = np.zeros(len(size), np.int8)
+    stay = np.arange(score.shape[1], dtype=np.int32)
+    ends = np.zeros(len(size), np.int32)
     for t in range(1, longest):
         n = running[t]
         if n < len(best):
@@ -177,13 +179,13 @@ def viterbi(score: np.ndarray, of: np.ndarray, bounds: np.ndarray, switch: float
         top -= switch
         moved = best < top[:, None]
         if moved.any():
-            back[at] = np.where(moved, best.argmax(1).astype(np.int8)[:, None], stay)
+            back[at] = np.where(moved, best.argmax(1).astype(np.int32)[:, None], stay)
             best = np.maximum(best, top[:, None])
         else:
             back[at] = stay
         best = best + score[of[at]]
     ends[: len(best)] = best.argmax(1)
-    now = np.zeros(0, np.int8)
+    now = np.zeros(0, np.int32)
     for t in range(longest - 1, -1, -1):
         n = running[t]
         now = np.concatenate([now, ends[len(now) : n]])
@@ -200,14 +202,42 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, usable: Column | None = None) -> Model:
-    """Train on a bounded sample: TRAIN_ROWS documents of a language, TRAIN_ALL in all, by hash order; of a long one, TRAIN_CHARS characters from its middle."""
-    rows = docs.where(F.lit(True) if usable is None else usable).where("lang is not null and length(trim(text)) > 0")
-    order = F.xxhash64(F.col("doc_id"), F.col("lang"))
-    begin = F.greatest(F.lit(1), ((F.length("text") - TRAIN_CHARS) / 2).cast("int"))
-    ids = rows.select("lang", order.alias("o"), F.substring(F.col("text"), begin, F.lit(TRAIN_CHARS)).alias("text"))
-    ids = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))).where(F.col("n") <= TRAIN_ROWS)
-    found = ids.orderBy("n", "lang").limit(TRAIN_ALL).collect()
-    return train([(r.lang, r.text) for r in found])
+    """Train on a bounded sample: about TRAIN_ROWS documents of each language, about TRAIN_ALL in all, by a hash that is under a language's share; equal rows count once.
+    Texts are counted where they are; n-gram counts of the sample come to the driver."""
+    common.ship(docs.sparkSession)
+    rows = docs.where(F.lit(True) if usable is None else usable).where("lang is not null and length(trim(text)) > 0").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "doc_id")
+    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN_ALL).collect()
+    each = min(TRAIN_ROWS, max(1, TRAIN_ALL // max(1, len(known))))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in known], "lang string, share double")  # TRAIN_ALL at most
+    order = F.xxhash64("doc_id", "lang", "text")
+    sample = rows.withColumn("o", order).join(F.broadcast(shares), "lang").where(F.pmod("o", F.lit(1 << 32)) < F.col("share") * (1 << 32))
+
+    def made(batches):
+        by: dict[str, list] = {}
+        for b in batches:
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
+                by.setdefault(lang, []).append(counted(text))
+        for lang, found in by.items():
+            key, at = np.unique(np.concatenate([k for k, _, _ in found]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([n for _, n, _ in found]), minlength=len(key)).astype(np.int64)
+            ranges = sum(r for _, _, r in found)
+            # n-grams, then letters by range and the number of texts under numbers that no n-gram has
+            key, n = np.concatenate([key, -1 - np.arange(len(SCRIPTS)), [-1 - len(SCRIPTS)]]), np.concatenate([n, ranges, [len(found)]])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+
+    found = sample.dropDuplicates(["lang", "o"]).select("lang", "text").mapInArrow(made, "lang string, gram long, n long")
+    found = common.stored(found.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    totals = {r["lang"]: r["n"] for r in found.where("gram >= 0").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    letters: dict[str, np.ndarray] = {}
+    size: dict[str, int] = {}
+    for r in found.where("gram < 0").collect():
+        if -1 - r["gram"] == len(SCRIPTS):
+            size[r["lang"]] = r["n"]
+        else:
+            letters.setdefault(r["lang"], np.zeros(len(SCRIPTS), np.int64))[-1 - r["gram"]] = r["n"]
+    often = found.where("gram >= 0").groupBy("gram").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("each")).where(F.col("all") >= LEAST)
+    grams = {r["gram"]: {x["lang"]: x["n"] for x in r["each"]} for r in often.collect()}
+    return train(size, {k: totals.get(k, 0) for k in size}, letters, grams)
 
 
 def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
