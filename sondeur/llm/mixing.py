@@ -180,9 +180,11 @@ def drawn(seen: DataFrame, cells: DataFrame, small: bool) -> DataFrame:
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = SHARE, seed: int = 1) -> DataFrame:
     """The drawn rows of docs, with their columns."""
-    seen = described(docs, seed)
+    # Rows travel in one column, so that no name of theirs clashes, and texts are read once for both uses.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).select("_row", *[F.col(f"_row.{c}").alias(c) for c in ("doc_id", "text", "source", "lang")])
+    seen = common.stored(described(rows, seed).drop("doc_id", "text", "source", "lang"), "described")
     cells, small = calibrate(seen.select("_source", "_lang", "_topic", "_tokens"), targets, share)
-    return drawn(seen, cells, small).where("_sampled").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return drawn(seen, cells, small).where("_sampled").select("_row.*")
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
