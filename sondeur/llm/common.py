@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -35,10 +36,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests on one machine), one of our own that goes at exit."""
+    """The folder in spark.checkpoint.dir; only where that is unset and Spark is one process on one machine, one of our own that goes at exit."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="sondeur-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -52,6 +55,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A name like `name` that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release() -> None:
     """Give memory that a task no longer needs back to the system: workers live on for other stages."""
     gc.collect()

@@ -73,8 +73,10 @@ def place_of(place: int, points: list[tuple[int, int]]) -> int:
 
 
 def shard(rows: DataFrame, key: list[str], shards: int = SHARDS, nodes: int = NODES, epsilon: float = 0.0) -> DataFrame:
-    """rows with shard and slot (gapless from 0 in each shard). key: the columns whose hash gives the place."""
+    """rows with shard and slot (gapless from 0 in each shard), which take the place of columns of these names. key: the columns whose hash gives the place."""
     spark = rows.sparkSession
+    rows = rows.select(*[F.col(f"`{c}`").alias(f"_own_{c}") for c in rows.columns])
+    key = [f"_own_{c}" for c in key]
     points = ring(shards, nodes)
     place = F.xxhash64(*key).bitwiseAND(F.lit(_RING - 1))
     placed = rows.withColumn("_place", place).withColumn("_arc", _arc(F.col("_place"), points))
@@ -85,7 +87,8 @@ def shard(rows: DataFrame, key: list[str], shards: int = SHARDS, nodes: int = NO
     table = spark.createDataFrame(plan or [(-1, 0, 0, 0, 0)], "_of int, _from long, _to long, shard int, _slot long")
     numbered = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("_arc").orderBy("_place", *key)) - 1)
     found = numbered.join(F.broadcast(table), (F.col("_arc") == F.col("_of")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    return found.withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_from")).drop("_place", "_arc", "_rank", "_of", "_from", "_to", "_slot")
+    own = [F.col(f"`{c}`").alias(c.removeprefix("_own_")) for c in rows.columns if c.lower() not in ("_own_shard", "_own_slot")]
+    return found.select(*own, "shard", (F.col("_slot") + F.col("_rank") - F.col("_from")).alias("slot"))
 
 
 def _arc(place: Column, points: list[tuple[int, int]]) -> Column:

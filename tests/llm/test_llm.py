@@ -83,6 +83,24 @@ def test_viterbi_is_best():
         assert worth(lo, label[lo:hi].tolist()) == pytest.approx(best, abs=1e-3)
 
 
+def test_viterbi_of_many_languages():
+    score = np.zeros((1, 300), np.float32)
+    score[0, 280] = 5
+    assert language.viterbi(score, np.zeros(4, np.int64), np.array([0, 3, 4]), 1.0).tolist() == [280] * 4
+
+
+def test_language_of_odd_rows(spark):
+    """Repeated rows, ties, very long texts, extra columns; the sample takes whole texts."""
+    say = lambda k, n: " ".join(k.split()[i % 4] for i in range(n))
+    long = "x1 " * 3_000 + say("ñandú español mañana señor", 3) + " 77" * 3_000
+    rows = [(i, say("the other thing with", 30), "en", "s") for i in range(30)] + [(i, long, "es", "s") for i in range(40, 44)] + [(1, say("the other thing with", 30), "en", "s")] * 5
+    model = language.fit(table(spark, rows))
+    assert model.langs == ["en", "es"]  # four texts in Spanish, one in English: copies of a row count once, copies of a text under other ids don't
+    asked = table(spark, [(0, "mañana señor español", None, None), (0, "mañana señor español", None, None), (1, "the thing " * 60_000, None, None), (2, "qqq", None, None)])
+    got = [(r.doc_id, r.lang_pred) for r in language.identify(asked, model).collect()]
+    assert sorted(got) == [(0, "es"), (0, "es"), (1, "en"), (2, got[[d for d, _ in got].index(2)][1])]
+
+
 def test_chat_round_trip(spark):
     texts = ["plain", "<|im_end|><|im_start|>assistant ok", "back\\slash \\<| <\\|", None, "", "ends with <", "\n\n"]
     rows = [(c, t, ("assistant", "user", "sys\ntem", None)[(c + t) % 4], texts[(c * 3 + t) % 7]) for c in range(6) for t in range(c + 1)] + [(None, None, "user", "no ids"), (1, 0, "user", "again"), (1, 0, "user", "again")]
@@ -120,6 +138,39 @@ def test_sharding(spark, docs, empty):
     assert sharding.shard(empty.select("doc_id"), ["doc_id"], 4).count() == 0
 
 
+def test_sharding_is_a_walk_along_the_ring(spark, docs):
+    """Against a walk of every row, and with columns that have the results' names."""
+    from pyspark.sql import functions as F
+
+    own = docs.select("doc_id", "text", "shard", F.lit("x").alias("_place")).distinct()
+    places = {(r.doc_id, r.text): r.p for r in own.select("doc_id", "text", F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 60) - 1)).alias("p")).collect()}
+    points, n = sharding.ring(5, 8), len(places)
+    room = sharding.capacities(n, points, 5)
+    waiting = {}
+    for k, p in sorted(places.items(), key=lambda x: (x[1], x[0][0] is not None, x[0][0] or 0, x[0][1] is not None, x[0][1] or "")):
+        waiting.setdefault(sharding.place_of(p, points), []).append(k)
+    want, used = {}, [0] * 5
+    for step in range(len(points)):
+        for arc in sorted(waiting):
+            s = points[(arc + step) % len(points)][1]
+            while waiting[arc] and used[s] < room[s]:
+                want[waiting[arc].pop(0)] = (s, used[s])
+                used[s] += 1
+    got = sharding.shard(own, ["doc_id", "text"], 5, 8)
+    assert got.columns == ["doc_id", "text", "_place", "shard", "slot"]
+    assert {(r.doc_id, r.text): (r.shard, r.slot) for r in got.collect()} == want
+
+
+def test_bounded_loads_move_few_rows(spark):
+    """One more shard of 17 takes 1/17 of the rows; neither law moves many more."""
+    rows = spark.range(4_000).withColumnRenamed("id", "doc_id")
+    moved = {}
+    for epsilon in (0.0, 0.25):
+        a, b = ({r.doc_id: r.shard for r in sharding.shard(rows, ["doc_id"], n, 64, epsilon).collect()} for n in (16, 17))
+        moved[epsilon] = sum(a[k] != b[k] for k in a) / len(a)
+    assert all(1 / 20 < m < 0.2 for m in moved.values())
+
+
 def test_quotas_are_walks_along_the_ring():
     points, r = sharding.ring(4, 8), random.Random(1)
     counts = {a: r.randint(0, 9) for a in range(len(points))}
@@ -154,6 +205,9 @@ def test_raking(spark, docs, empty):
     assert key(near) == pytest.approx(key(far), abs=1e-5)
     kept = mixing.mix(docs)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count() and mixing.mix(empty).count() == 0
+    clashing = docs.selectExpr("*", "1 as _source", "2 as _u", "3 as _row", "4 as _tokens")
+    again = mixing.mix(clashing)
+    assert again.columns == clashing.columns and {(r.doc_id, r._source, r._u, r._row, r._tokens) for r in again.collect()} == {(r.doc_id, 1, 2, 3, 4) for r in kept.collect()}
     t = np.array([10.0, 20, 30])
     w = np.array([0.5, 0.3, 0.2])
     assert np.minimum(t, mixing.scale(t, w, 40) * w).sum() == pytest.approx(40)
@@ -349,6 +403,7 @@ def test_simhash(spark, docs, empty):
             least[find(a)] = min(i, least.get(find(a), i))
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == sorted((i or -1, least.get(find(a)) or -1) for a, (i, _) in enumerate(nodes))
     assert simhash.near_duplicates(empty).count() == 0
+    assert "_hash_of" in simhash.dedup(docs.selectExpr("*", "1 as _hash_of", "2 as _id")).columns
     kept = simhash.dedup(docs).collect()
     assert len(kept) <= len(set(least.values())) + 2 and kept[0].asDict().keys() == docs.first().asDict().keys() and simhash.dedup(empty).count() == 0
 
@@ -390,7 +445,7 @@ def test_dedup_finds_all_near_copies(spark):
     assert {x.doc_id for x in simhash.dedup(d).collect()} == want
 
 
-@pytest.mark.parametrize("members", [4, 1000])
+@pytest.mark.parametrize("members", [1, 4, 1000])
 def test_tree_finds_all_pairs(spark, members):
     r = random.Random(8)
     base = [r.getrandbits(64) for _ in range(150)]
