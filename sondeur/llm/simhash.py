@@ -16,7 +16,9 @@ group of k fingerprints gives k - 1 edges and never k * k pairs.
 dedup() needs no fingerprint: it links texts whose sets of five-word shingles
 have a Jaccard similarity of 0.8 at least, which fingerprints of 64 bits don't
 tell. Sets that are so alike share one of the rarest fifth of their shingles
-(in any one order of all shingles), so those meet and are compared exactly.
+(in any one order of all shingles), so those meet and are compared whole, by 32
+bits a shingle: of two sets of a thousand, one shingle in four thousand pairs
+is taken for another's.
 
 Defined results: a null text, an empty one and one of white space alone have
 fingerprint zero, linked like any other. Repeated rows give repeated result
@@ -217,35 +219,19 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     return named(common.stored(fingerprints(docs, width), "prints"), radius).select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, text_hash, node (a hash of the set), shingles (the text's distinct hashes, ascending as unsigned numbers)."""
-
-    def made(batches):
-        for b in batches:
-            each = [np.unique(hashes(t, width)) for t in b.column("text").to_pylist()]
-            node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in each], dtype=np.uint64)
-            ends = np.concatenate(([0], np.cumsum([len(h) for h in each]))).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.uint64), *each]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(node.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "text_hash", "node", "shingles"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash(F.col("text")).alias("text_hash")).mapInArrow(made, "doc_id long, text_hash long, node long, shingles array<long>")
-
-
-def _batch_shingles(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """All shingles of a batch, and where each row's begin and end."""
-    column = b.column("shingles")
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
-    return flat, np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash(F.col("text")).alias("text_hash"))
 
 
-def _commonness(sets: DataFrame) -> np.ndarray:
+def _commonness(docs: DataFrame, width: int) -> np.ndarray:
     """How often shingles occur, in SKETCH buckets of hashes. Only the order of a set's shingles hangs on it, never which pairs are found."""
     part = SKETCH // 16
 
     def counted(batches):
         c = np.zeros(SKETCH, np.int64)
         for b in batches:
-            c += np.bincount((_batch_shingles(b)[0] & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            for t in b.column("text").to_pylist():
+                np.add.at(c, np.unique(hashes(t, width)) & np.uint64(SKETCH - 1), 1)
         yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([c[k * part : (k + 1) * part].tobytes() for k in range(16)], pa.binary())], names=["k", "counts"])
 
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -254,37 +240,45 @@ def _commonness(sets: DataFrame) -> np.ndarray:
             total += np.frombuffer(c, np.int64)
         return pd.DataFrame({"k": pdf["k"].iloc[:1], "counts": [total.tobytes()]})
 
-    got = sets.select("shingles").mapInArrow(counted, "k int, counts binary").groupBy("k").applyInPandas(added, "k int, counts binary").collect()
+    got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(counted, "k int, counts binary").groupBy("k").applyInPandas(added, "k int, counts binary").collect()
     out = np.zeros(SKETCH, np.int64)
     for r in got:
         out[r.k * part : (r.k + 1) * part] = np.frombuffer(bytes(r.counts), np.int64)
     return out
 
 
-def _prefixes(sets: DataFrame) -> DataFrame:
-    """token, node, n (shingles of the set), at: the rarest shingles of each set, so many that two sets of LIKE share one of them."""
-    shared = sets.sparkSession.sparkContext.broadcast(_commonness(sets))
+def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
+    """doc_id, text_hash, node (a hash of the set), n (shingles in it), tokens (the rarest of them, so many that two sets of LIKE share one) and shingles (their hashes' lower 32 bits).
+    A task gives the tokens and shingles of a set once, so a large group of copies goes no further."""
+    shared = docs.sparkSession.sparkContext.broadcast(_commonness(docs, width))  # SKETCH counts
 
     def made(batches):
-        common_ = shared.value
+        weight, seen = shared.value, set()
         for b in batches:
-            flat, ends = _batch_shingles(b)
-            weight = common_[(flat & np.uint64(SKETCH - 1)).astype(np.int64)]
-            tokens, sizes, count = [np.zeros(0, np.uint64)], [], []
-            for lo, hi in zip(ends[:-1], ends[1:]):
-                n = int(hi - lo)
+            node, size, tokens, sets = [], [], [], []
+            for t in b.column("text").to_pylist():
+                h = np.unique(hashes(t, width))
+                k, n = xxhash.xxh64_intdigest(h.tobytes(), SEED), len(h)
+                node.append(k)
+                size.append(n)
+                if k in seen:
+                    tokens.append(h[:0])
+                    sets.append(h[:0])
+                    continue
+                seen.add(k)
                 first = n - -(-LIKE[0] * n // LIKE[1]) + 1 if n else 0
-                order = np.lexsort((flat[lo:hi], weight[lo:hi]))[:first]
-                tokens.append(flat[lo:hi][order])
-                sizes.append(n)
-                count.append(first)
-            token = np.concatenate(tokens).view(np.int64)
-            node = np.repeat(b.column("node").to_numpy(), count)
-            at = np.concatenate([np.zeros(0, np.int64), *map(np.arange, count)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array(np.repeat(np.array(sizes, np.int32), count)), pa.array(at)], names=["token", "node", "n", "at"])
-
-    entries = sets.select("node", "shingles").mapInArrow(made, "token long, node long, n int, at int")
-    # Copies go before the shuffle; a token of one set alone pairs nothing.
+                tokens.append(h[np.lexsort((h, weight[(h & np.uint64(SKETCH - 1)).astype(np.int64)]))[:first]])
+                sets.append(h)
+            lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.uint64), *x]).astype(kind, copy=False)))
+            tokens_, sets_ = lists(tokens, np.uint64), lists(sets, np.uint32)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(np.array(size, np.int32)), tokens_.view(pa.list_(pa.int64())), sets_.view(pa.list_(pa.int32()))], names=["doc_id", "text_hash", "node", "n", "tokens", "shingles"])
+
+    return _texts(docs).mapInArrow(made, "doc_id long, text_hash long, node long, n int, tokens array<long>, shingles array<int>")
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """token, node, n, at of tokens that several sets have."""
+    entries = sets.select("node", "n", F.posexplode("tokens").alias("at", "token")).repartition("token")  # one shuffle for both steps
     entries = entries.groupBy("token", "node").agg(F.first("n").alias("n"), F.first("at").alias("at"))
     return entries.withColumn("_sets", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("_sets > 1").drop("_sets")
 
@@ -298,7 +292,7 @@ def _may_be_alike(n: Column, at: Column, m: Column, to: Column) -> Column:
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs a, b whose sets have Jaccard similarity LIKE at least."""
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    own = common.stored(sets.join(needed, "node", "left_semi").select("node", "shingles").dropDuplicates(["node"]), "compared")
+    own = common.stored(sets.where("n > 0 and size(shingles) > 0").join(needed, "node", "left_semi").select("node", "shingles").dropDuplicates(["node"]), "compared")
     both = pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y")).cast("long")
     return both.where(same * (LIKE[0] + LIKE[1]) >= (F.size("x") + F.size("y")) * LIKE[0]).select("a", "b")
