@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,11 +53,37 @@ SIGNATURES = [
 ]
 
 
+#: What a stream must hold for a pattern to match, as a cheap test before it: bytes, or a pattern without look-around.
+NEEDED = {
+    "Flag": (None, r"(?i)\{|(?:flag|ctf|key|secret|hunt)\s*[=:\-]"), "Specific Flag": ("{", None), "Generic Flag Pattern": ("{", None), "Custom Flag": ("{", None), "URL": ("://", None), "Email": ("@", None), "Email Address": ("@", None),
+    "IPv4 Address": (None, r"[0-9]\.[0-9]{1,3}\."), "IPv6 Address": (None, r"[0-9a-fA-F]:[0-9a-fA-F]{1,4}:"), "JWT Token": ("eyJhbGciOi", None), "Private Key Block": ("-----BEGIN ", None), "PEM Certificate Block": ("-----BEGIN ", None),
+    "API Key Candidate": (None, r"(?i)(?:key|secret|token|password)\s*[:=]"),
+}
+
+
+def finder(patterns: dict[str, str]):
+    """A function from bytes to the iterators of matches of each pattern; a pattern runs over streams alone that hold what it needs."""
+    made = []
+    for name, p in patterns.items():
+        word, test = NEEDED.get(name, (None, None))
+        made.append((re.compile(p.encode()), word.encode() if word else None, re.compile(test.encode()) if test else None))
+
+    def find(data: bytes):
+        return [p.finditer(data) if (word is None or word in data) and (test is None or test.search(data)) else iter(()) for p, word, test in made]
+
+    return find
+
+
 def matches(streams: DataFrame, patterns: dict[str, str], key: str = "id") -> DataFrame:
-    """key, type, hit (from 0, in the stream's order), value."""
-    text = B.latin1(F.col("data"))
-    found = F.explode(F.array(*[F.struct(F.lit(k).alias("type"), F.regexp_extract_all(text, F.lit(B.ascii_words(p)), F.lit(0)).alias("values")) for k, p in patterns.items()])).alias("f")
-    return streams.select(key, found).select(key, "f.type", F.posexplode("f.values").alias("hit", "value"))
+    """key, type, hit (from 0, in the stream's order), value (as Latin-1)."""
+    names = list(patterns)
+
+    @F.pandas_udf("array<struct<type:string,hit:int,value:string>>")
+    def each(data: pd.Series) -> pd.Series:
+        find = finder(patterns)
+        return pd.Series([[{"type": n, "hit": i, "value": m[0].decode("latin-1")} for n, found in zip(names, find(d or b"")) for i, m in enumerate(found)] for d in data])
+
+    return streams.select(key, F.explode(each("data")).alias("_m")).select(key, "_m.type", "_m.hit", "_m.value")
 
 
 def match_counts(streams: DataFrame, patterns: dict[str, str], key: str = "id") -> DataFrame:
@@ -61,14 +91,12 @@ def match_counts(streams: DataFrame, patterns: dict[str, str], key: str = "id")
 
 
 def custom_flag(name: str) -> dict[str, str]:
-    import re
+    return {"Custom Flag": rf"(?i){re.escape(name)}\s*\{{{_INNER}+\}}"}
 
-    return {"Custom Flag": rf"(?i){re.escape(name)}\{{[^{{}}]{{1,100}}\}}"}
 
-
-def intelligence(streams: DataFrame, key: str = "id") -> DataFrame:
-    """key, type, hit, value, confidence; a hash of fewer than five different characters counts a tenth."""
-    m = matches(streams, {k: p for k, (p, _) in INTELLIGENCE.items()}, key)
+def intelligence(streams: DataFrame, key: str = "id", types: tuple[str, ...] | None = None) -> DataFrame:
+    """key, type, hit, value, confidence, of all types or some; a hash of fewer than five different characters counts a tenth."""
+    m = matches(streams, {k: p for k, (p, _) in INTELLIGENCE.items() if types is None or k in types}, key)
     base = F.element_at(F.create_map(*[x for k, (_, c) in INTELLIGENCE.items() for x in (F.lit(k), F.lit(c))]), F.col("type"))
     dull = F.col("type").isin("Hex Hash (MD5)", "Hex Hash (SHA256)") & (F.size(F.array_distinct(F.split("value", ""))) < 5)
     return m.withColumn("confidence", F.when(dull, base * 0.1).otherwise(base))
@@ -118,31 +146,42 @@ def find_all(text: Column, needle_hex: str) -> Column:
 
 def profile(streams: DataFrame, key: str = "id") -> DataFrame:
     """key, size, entropy, printable_ratio; bit_bias and peak_ratio of the first 64 KiB; unique_ratio of 4-byte chunks of the first 4 KiB (1 under 8 bytes)."""
-    head = streams.select(key, F.substring("data", 1, 65_536).alias("data"))
-    counts = B.byte_counts(head, key).groupBy(key).agg((F.sum(F.col("n") * F.bit_count(F.col("byte"))) / (8 * F.sum("n"))).alias("bit_bias"), (F.max("n") / F.sum("n")).alias("peak_ratio"))
-    chunks = F.regexp_extract_all(F.hex(F.substring("data", 1, 4096)), F.lit(".{8}"), F.lit(0))
-    own = streams.select(key, F.octet_length("data").cast("long").alias("size"), B.printable_ratio(F.col("data")).alias("printable_ratio"), F.when(F.octet_length("data") >= 8, F.size(F.array_distinct(chunks)) / F.size(chunks)).otherwise(1.0).alias("unique_ratio"))
-    out = own.join(B.entropy(streams, key).select(key, "entropy"), key).join(counts, key, "left")
-    return out.select(key, "size", "entropy", "printable_ratio", F.coalesce("bit_bias", F.lit(0.0)).alias("bit_bias"), F.coalesce("peak_ratio", F.lit(0.0)).alias("peak_ratio"), "unique_ratio")
-
 
-def _any(patterns: dict[str, str]) -> str:
-    return "|".join(f"(?:{B.ascii_words(p)})" for p in patterns.values())
-
-
-def rated(streams: DataFrame, key: str = "id") -> DataFrame:
-    """key, size, entropy, printable_ratio, passes (the cheap filter), rating 1 to 5 and reason, from patterns, text runs and entropy; magic and compression are rated by operators.score."""
-    text = B.latin1(F.col("data"))
-    head = F.substring("data", 1, 512)
-    hit = lambda p: text.rlike(B.ascii_words(p))
-    runs = F.regexp_extract_all(text, F.lit(r"[ -~]{6,}"), F.lit(0))
-    n = F.octet_length("data")
-    own = streams.select(
-        key, B.printable_ratio(F.col("data")).alias("printable_ratio"), B.printable_ratio(head).alias("_head"), B.latin1(head).rlike(_any(PATTERNS)).alias("_head_hit"),
-        hit(PATTERNS["Flag"]).alias("_flag"), text.rlike(_any({k: v for k, v in PATTERNS.items() if k != "Flag"})).alias("_other"),
-        F.size(F.filter(runs, lambda r: F.trim(r) != "")).alias("_runs"), F.aggregate(F.transform(runs, lambda r: F.char_length(F.trim(r))), F.lit(0), lambda a, x: a + x).alias("_run_bytes"), n.alias("_n"),
-    )
-    out = own.join(B.entropy(streams, key), key)
+    @F.pandas_udf("struct<entropy:double,printable_ratio:double,bit_bias:double,peak_ratio:double,unique_ratio:double>")
+    def each(data: pd.Series) -> pd.DataFrame:
+        ones, rows = np.bitwise_count(np.arange(256, dtype=np.uint8)), []
+        for d in data:
+            d = d or b""
+            whole, head = B._histogram(d), B._histogram(d[:65_536])
+            n, m = max(1, len(d)), max(1, head.sum())
+            chunks = np.frombuffer(d[: min(len(d), 4096) // 4 * 4], "<u4")
+            rows.append((float(B._entropies(whole)), whole[32:127].sum() / n, (head @ ones) / (8 * m), head.max() / m, len(np.unique(chunks)) / len(chunks) if len(d) >= 8 else 1.0))
+        return pd.DataFrame(rows, columns=["entropy", "printable_ratio", "bit_bias", "peak_ratio", "unique_ratio"])
+
+    return streams.select(key, F.coalesce(F.octet_length("data"), F.lit(0)).cast("long").alias("size"), each("data").alias("_p")).select(key, "size", "_p.*")
+
+
+def rated(streams: DataFrame, key: str = "id", more: bool = False) -> DataFrame:
+    """key, size, entropy, printable_ratio, passes (the cheap filter), rating 1 to 5 and reason, from patterns, text runs and entropy, and if asked for regex_count; magic and compression are rated by operators.files.
+    One pass: every pattern runs once over a stream, and no rows are shuffled."""
+    names = "entropy", "printable_ratio", "_head", "_head_hit", "_flags", "_others", "_runs", "_run_bytes"
+
+    @F.pandas_udf("entropy double, printable_ratio double, _head double, _head_hit boolean, _flags long, _others long, _runs long, _run_bytes long")
+    def each(data: pd.Series) -> pd.DataFrame:
+        find, run, rows = finder(PATTERNS), re.compile(rb"[ -~]{6,}"), []
+        for d in data:
+            d = d or b""
+            whole, head = B._histogram(d), B._histogram(d[:512])
+            counts = [sum(1 for _ in m) for m in find(d)]
+            texts = [n for n in (len(m[0].strip(b" ")) for m in run.finditer(d)) if n]
+            first = head[32:127].sum() / max(1, head.sum())
+            rows.append((float(B._entropies(whole)), whole[32:127].sum() / max(1, len(d)), first, first < 0.1 and any(next(m, None) for m in find(d[:512])), counts[0], sum(counts[1:]), len(texts), sum(texts)))
+        return pd.DataFrame(rows, columns=names)
+
+    # As a function that is not deterministic it runs once: else filters on its results would go below, with a second run of it.
+    each = each.asNondeterministic()
+    out = streams.select(key, F.coalesce(F.octet_length("data"), F.lit(0)).cast("long").alias("size"), each("data").alias("_p")).select(key, "size", "_p.*")
+    out = out.withColumns({"_n": F.col("size"), "_flag": F.col("_flags") > 0, "_other": F.col("_others") > 0, "regex_count": F.col("_flags") + F.col("_others")})
     passes = F.when((F.col("_n") < 4) | (F.col("entropy") < 0.5), False).when(F.col("entropy") >= 7.95, True).otherwise((F.col("_head") >= 0.1) | F.col("_head_hit"))
     tiers = [
         (F.col("_n") < 4, 1, "too small"), (F.col("_flag"), 5, "flag pattern"), (F.col("_other"), 3, "known pattern"),
@@ -152,7 +191,7 @@ def rated(streams: DataFrame, key: str = "id") -> DataFrame:
     rating, reason = F.lit(1), F.lit("noise")
     for c, r, why in reversed(tiers):
         rating, reason = F.when(c, r).otherwise(rating), F.when(c, F.lit(why)).otherwise(reason)
-    return out.select(key, "size", "entropy", "printable_ratio", passes.alias("passes"), rating.cast("int").alias("rating"), reason.alias("reason"))
+    return out.select(key, "size", "entropy", "printable_ratio", passes.alias("passes"), rating.cast("int").alias("rating"), reason.alias("reason"), *["regex_count"] * more)
 
 
 def ranked(scored: DataFrame, key: str = "id", keep_all: bool = False) -> DataFrame:

@@ -160,8 +160,7 @@ def flag_search(binary: DataFrame) -> DataFrame:
 
 def scan_streams(streams: DataFrame) -> DataFrame:
     """The byte scan: rating, entropy, printable share and pattern counts of each stream, best first."""
-    counts = scan.match_counts(streams, scan.PATTERNS).groupBy("id").agg(F.sum("n").alias("regex_count"))
-    return scan.ranked(scan.rated(streams).join(counts, "id", "left").withColumn("regex_count", F.coalesce("regex_count", F.lit(0))))
+    return scan.ranked(scan.rated(streams, more=True))
 
 
 def registered(spark: SparkSession, a: Analysis, prefix: str = "analysis") -> None:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import base64
+import html
+import urllib.parse
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +50,7 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
-    t = tables.read(spark, d, "conversations")
+    t = tables.spread(tables.read(spark, d, "conversations"))
     return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.encode("text", "UTF-8").alias("data"))
 
 
@@ -84,20 +89,32 @@ for _t, (_k, _c, _f) in _TEXTS.items():
         _sql = scan.PATTERNS[_p].replace("'", "''")
         add(f"regex_{_slug}_{_t}", lambda s, d, f=_f, p=_p: scan.match_counts(f(s, d), {p: scan.PATTERNS[p]}).select("id", "n", "n_distinct"), f"WITH m AS (SELECT {_k} AS id, unnest(regexp_extract_all({_c}, '{_sql}')) AS v FROM {_t}) SELECT id, count(*)::BIGINT AS n, count(DISTINCT v)::BIGINT AS n_distinct FROM m GROUP BY id")
 _PLANTED = "CASE doc_id % 5 WHEN 0 THEN text || ' flag{planted_' || doc_id || '} ' WHEN 1 THEN text || ' d41d8cd98f00b204e9800998ecf8427e ' WHEN 2 THEN text || ' https://example.org/a?b=' || doc_id ELSE text END"
-_planted = lambda s, d: tables.read(s, d, "documents").select(F.col("doc_id").alias("id"), F.encode(F.expr(_PLANTED), "UTF-8").alias("data"))
+_planted = lambda s, d: tables.spread(tables.read(s, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.encode(F.expr(_PLANTED), "UTF-8").alias("data"))
 for _p in ("Flag", "URL", "Hex Hash (MD5)"):
     _slug = "md5" if "MD5" in _p else _p.lower()
     _sql = scan.PATTERNS[_p].replace("'", "''")
     add(f"regex_{_slug}_planted", lambda s, d, p=_p: scan.match_counts(_planted(s, d), {p: scan.PATTERNS[p]}).select("id", "n", "n_distinct"), f"WITH m AS (SELECT doc_id AS id, unnest(regexp_extract_all({_PLANTED}, '{_sql}')) AS v FROM documents) SELECT id, count(*)::BIGINT AS n, count(DISTINCT v)::BIGINT AS n_distinct FROM m GROUP BY id")
 add("custom_flag", lambda s, d: scan.matches(_planted(s, d), scan.custom_flag("flag")).select("id", "hit", "value"), f"SELECT doc_id AS id, 0 AS hit, 'flag{{planted_' || doc_id || '}}' AS value FROM documents WHERE doc_id % 5 = 0")
 _API = scan.INTELLIGENCE["API Key Candidate"][0].replace("'", "''")
-add("intelligence_counts", lambda s, d: scan.intelligence(docs(s, d)).where(F.col("type").isin("API Key Candidate", "Email Address", "IPv4 Address")).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 4).alias("confidence")), f"""WITH m AS (SELECT 'API Key Candidate' AS type, 0.8 AS c, unnest(regexp_extract_all(text, '{_API}')) AS v FROM documents
-    UNION ALL SELECT 'Email Address', 0.95, unnest(regexp_extract_all(text, '{scan.PATTERNS["Email"]}')) FROM documents UNION ALL SELECT 'IPv4 Address', 0.9, unnest(regexp_extract_all(text, '{scan.PATTERNS["IPv4 Address"]}')) FROM documents)
-    SELECT type, count(*)::BIGINT AS n, round(sum(c)::DOUBLE, 4) AS confidence FROM m GROUP BY type""")
-add("intelligence_all", lambda s, d: scan.intelligence(docs(s, d)).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 4).alias("confidence")))
+
+
+def _findings_sql(types) -> str:
+    """Rows of type, value and confidence of documents."""
+    one = "SELECT '{0}' AS type, {1}::DOUBLE AS c, unnest(regexp_extract_all(text, '{2}')) AS v FROM documents"
+    parts = [one.format(k, c, p.replace("0-9-_", "0-9_\\-").replace("'", "''")) for k, (p, c) in scan.INTELLIGENCE.items() if k in types]
+    return f"m AS ({' UNION ALL '.join(parts)}), f AS (SELECT type, v, CASE WHEN type LIKE 'Hex Hash%' AND len(list_distinct(string_split(v, ''))) < 5 THEN c * 0.1 ELSE c END AS c FROM m)"
+
+
+_SOME = ("API Key Candidate", "Email Address", "IPv4 Address")
+_COUNTED = "SELECT type, count(*)::BIGINT AS n, round(sum(c)::DOUBLE, 4) AS confidence FROM f GROUP BY type"
+_counted = lambda m: m.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 4).alias("confidence"))
+add("intelligence_counts", lambda s, d: _counted(scan.intelligence(docs(s, d), types=_SOME)), f"WITH {_findings_sql(_SOME)} {_COUNTED}")
+add("intelligence_all", lambda s, d: _counted(scan.intelligence(docs(s, d))), f"WITH {_findings_sql(tuple(scan.INTELLIGENCE))} {_COUNTED}")
 add("intelligence_planted_md5", lambda s, d: scan.intelligence(_planted(s, d)).where("type = 'Hex Hash (MD5)'").select("id", "value", F.round("confidence", 4).alias("confidence")), "SELECT doc_id AS id, 'd41d8cd98f00b204e9800998ecf8427e' AS value, 0.65::DOUBLE AS confidence FROM documents WHERE doc_id % 5 = 1")
 add("ascii_runs", lambda s, d: scan.ascii_runs(docs(s, d), 6).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars")), f"WITH {DOCUMENTS}, r AS (SELECT id, unnest(regexp_extract_all(decode(unhex(regexp_replace(hex(data), '([89A-F].)|(..)', '\\1\\2', 'g'))), '[ -~]{{6,}}')) AS t FROM s) SELECT id, count(*)::BIGINT AS n, sum(length(trim(t)))::BIGINT AS chars FROM r WHERE trim(t) <> '' GROUP BY id")
-add("ascii_run_offsets", lambda s, d: scan.ascii_runs(pages(s, d), 8))
+add("ascii_run_offsets", lambda s, d: scan.ascii_runs(pages(s, d), 8), f"""WITH {PAGES}, {_BYTES}, p AS (SELECT id, i, byte, i - row_number() OVER (PARTITION BY id ORDER BY i) AS run FROM h WHERE byte BETWEEN 32 AND 126),
+    r AS (SELECT id, min(i) AS "offset", string_agg(chr(byte), '' ORDER BY i) AS t FROM p GROUP BY id, run HAVING count(*) >= 8), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY "offset") - 1 AS hit FROM r)
+    SELECT id, hit::INT AS hit, "offset"::BIGINT AS "offset", trim(t) AS text FROM k WHERE trim(t) <> ''""")
 add("printable_join", lambda s, d: scan.printable_text(docs(s, d), 4).select("id", F.char_length("text").cast("long").alias("chars")), f"WITH {DOCUMENTS}, r AS (SELECT id, list_filter(list_transform(regexp_extract_all(decode(data), '[ -~]{{4,}}'), lambda t: trim(t)), lambda t: t <> '') AS l FROM s) SELECT id, length(array_to_string(l, chr(10)))::BIGINT AS chars FROM r WHERE len(l) > 0")
 _HEADS = [(n, h) for n, h, f, _ in scan.SIGNATURES if f is None and len(h) >= 8 and n != "WAV Audio"]
 _MAGIC = "CASE doc_id % 3 " + " ".join(f"WHEN {i} THEN unhex('{h}')" for i, (_, h) in enumerate(_HEADS[:3])) + " END"
@@ -113,9 +130,12 @@ _RATED = f"""{DOCUMENTS}, {_BYTES}, e AS (SELECT id, sum(n)::BIGINT AS size, log
     g AS (SELECT e.*, hp, flag, other, len(runs) AS runs, list_sum(list_transform(runs, lambda t: length(t))) AS rb FROM e JOIN hd USING (id) JOIN f USING (id)),
     r AS (SELECT id, size, entropy, p, CASE WHEN size < 4 OR entropy < 0.5 THEN false WHEN entropy >= 7.95 THEN true ELSE hp >= 0.1 END AS passes,
       CASE WHEN size < 4 THEN 1 WHEN flag THEN 5 WHEN other THEN 3 WHEN rb >= 0.25 * size AND size >= 32 THEN 3 WHEN p >= 0.15 AND size >= 64 THEN 3 WHEN runs > 0 THEN 2 WHEN entropy >= 7.95 THEN 2 ELSE 1 END AS rating FROM g)"""
+_REASON = "CASE WHEN g.size < 4 THEN 'too small' WHEN flag THEN 'flag pattern' WHEN other THEN 'known pattern' WHEN rb >= 0.25 * g.size AND g.size >= 32 THEN 'mostly text' WHEN g.p >= 0.15 AND g.size >= 64 THEN 'printable' WHEN runs > 0 THEN 'text run' WHEN g.entropy >= 7.95 THEN 'high entropy' ELSE 'noise' END"
+_regex_counts = "c AS (SELECT id, sum(n) AS regex_count FROM (" + " UNION ALL ".join("SELECT doc_id AS id, len(regexp_extract_all(text, '" + p.replace("'", "''") + "')) AS n FROM documents" for p in scan.PATTERNS.values()) + ") GROUP BY id)"
 add("rating_simple", lambda s, d: scan.rated(docs(s, d)).select("id", "size", "passes", "rating"), f"WITH {_RATED} SELECT id, size, passes, rating::INT AS rating FROM r")
 add("rank_kept", lambda s, d: scan.ranked(scan.rated(docs(s, d))).select("id", "rating", (F.round("entropy", 4) + 0.0).alias("entropy")), f"WITH {_RATED} SELECT id, rating::INT AS rating, round(entropy, 4) AS entropy FROM r WHERE passes AND (rating > 1 OR entropy > 7.5)")
-add("rating_reasons", lambda s, d: scan.rated(docs(s, d)).groupBy("reason", "rating").agg(F.count(F.lit(1)).alias("n")))
+add("rating_reasons", lambda s, d: scan.rated(docs(s, d)).groupBy("reason", "rating").agg(F.count(F.lit(1)).alias("n")), f"""WITH {_RATED}, w AS (SELECT rating, {_REASON} AS reason FROM r JOIN g USING (id))
+    SELECT reason, rating::INT AS rating, count(*)::BIGINT AS n FROM w GROUP BY ALL""")
 add("hex_preview", lambda s, d: docs(s, d).select("id", B.hex_preview(F.col("data"), 16).alias("preview"), B.size_text(F.octet_length("data")).alias("size")), f"WITH {DOCUMENTS} SELECT id, trim(regexp_replace(lower(substr(hex(data), 1, 32)), '(..)', '\\1 ', 'g')) AS preview, CASE WHEN octet_length(data) >= 1024 THEN printf('%.2f KB', octet_length(data) / 1024.0) ELSE octet_length(data) || ' B' END AS size FROM s")
 add("ascii_preview", lambda s, d: docs(s, d).select("id", B.ascii_preview(F.col("data"), 64).alias("preview")), f"WITH {DOCUMENTS}, {_BYTES} SELECT id, string_agg(CASE WHEN byte BETWEEN 32 AND 126 THEN chr(byte) ELSE '.' END, '' ORDER BY i) AS preview FROM h WHERE i < 64 GROUP BY id")
 add("hexdump", lambda s, d: B.hexdump(docs(s, d)).select("id", "at", "hex"), f"WITH {DOCUMENTS}, r AS (SELECT id, substr(hex(data), 1, 256) AS x FROM s), k AS (SELECT id, x, unnest(range(0, length(x) // 2, 16)) AS a FROM r) SELECT id, a::INT AS at, trim(regexp_replace(lower(substr(x, 2 * a + 1, 32)), '(..)', '\\1 ', 'g')) AS hex FROM k")
@@ -123,14 +143,43 @@ add("hexdump", lambda s, d: B.hexdump(docs(s, d)).select("id", "at", "hex"), f"W
 # --- Decoders.
 _LOW, _UP = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 add("rot13", lambda s, d: tables.read(s, d, "benchmark").select("item_id", B.rotate(F.col("text"), 13).alias("text")), f"SELECT item_id, translate(text, '{_LOW}{_UP}', '{_LOW[13:]}{_LOW[:13]}{_UP[13:]}{_UP[:13]}') AS text FROM benchmark")
-add("caesar_all", lambda s, d: tables.read(s, d, "benchmark").select("item_id", F.posexplode(F.array(*[B.rotate(F.substring("text", 1, 200), k) for k in range(1, 26)])).alias("k", "text")).select("item_id", (F.col("k") + 1).alias("shift"), "text"), " UNION ALL ".join(f"SELECT item_id, {k}::INT AS shift, translate(substr(text, 1, 200), '{_LOW}{_UP}', '{_LOW[k:]}{_LOW[:k]}{_UP[k:]}{_UP[:k]}') AS text FROM benchmark" for k in range(1, 26)))
-# The SQL of caesar_all takes 200 characters of each text; these are whole.
-add("caesar_whole", lambda s, d: tables.read(s, d, "benchmark").select("item_id", F.posexplode(F.array(*[B.rotate(F.col("text"), k) for k in range(1, 26)])).alias("k", "text")).select("item_id", (F.col("k") + 1).alias("shift"), "text"))
+add("caesar_all", lambda s, d: tables.read(s, d, "benchmark").select("item_id", F.posexplode(F.array(*[B.rotate(F.col("text"), k) for k in range(1, 26)])).alias("k", "text")).select("item_id", (F.col("k") + 1).alias("shift"), "text"), " UNION ALL ".join(f"SELECT item_id, {k}::INT AS shift, translate(text, '{_LOW}{_UP}', '{_LOW[k:]}{_LOW[:k]}{_UP[k:]}{_UP[:k]}') AS text FROM benchmark" for k in range(1, 26)))
 add("xor_key_rank", lambda s, d: r4(B.xor_ranks(turns(s, d)), "ratio"), f"""WITH {CONVERSATIONS}, {_BYTES}, n AS (SELECT id, byte, count(*) AS n FROM h GROUP BY ALL), k AS (SELECT id, k.k AS xor_key, sum(CASE WHEN xor(byte, k.k) BETWEEN 32 AND 126 OR xor(byte, k.k) IN (9, 10, 13) THEN n ELSE 0 END) / sum(n) AS ratio FROM n, (SELECT unnest(range(256))::INT AS k) k GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ratio DESC, xor_key) AS rank FROM k) SELECT id, rank::INT AS rank, xor_key, round(ratio, 4) AS ratio FROM r WHERE rank <= 3""")
 add("gray_bytes", lambda s, d: turns(s, d).select("id", F.hex(B.gray_bytes(F.col("data"))).alias("hex")), f"WITH {CONVERSATIONS}, {_BYTES}, g1 AS (SELECT id, i, xor(byte, byte >> 1) AS v FROM h), g2 AS (SELECT id, i, xor(v, v >> 2) AS v FROM g1), g3 AS (SELECT id, i, xor(v, v >> 4) AS v FROM g2) SELECT id, string_agg(lpad(hex(v), 2, '0'), '' ORDER BY i) AS hex FROM g3 GROUP BY id")
 add("hex_roundtrip", lambda s, d: turns(s, d).select("id", F.decode(F.unhex(F.hex("data")), "UTF-8").alias("text")), f"WITH {CONVERSATIONS} SELECT id, decode(data) AS text FROM s")
 add("base64_roundtrip", lambda s, d: turns(s, d).select("id", F.base64("data").alias("coded")).select("id", F.decode(F.unbase64("coded"), "UTF-8").alias("text")), f"WITH {CONVERSATIONS} SELECT id, decode(from_base64(to_base64(data))) AS text FROM s")
+
+
+def _decoded(coded, back) -> Callable[[SparkSession, str], DataFrame]:
+    """id, text of turns that are coded and decoded by this library's decoders, in one Arrow pass."""
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        @F.pandas_udf("binary")
+        def both(data: pd.Series) -> pd.Series:
+            return pd.Series([back(coded(bytes(x))) if x else b"" for x in data])
+
+        return turns(spark, d).where("data is not null").select("id", F.decode(both("data"), "UTF-8").alias("text"))
+
+    return run
+
+
+def _base58(data: bytes) -> bytes:
+    n, out = int.from_bytes(b"\1" + data, "big"), bytearray()
+    while n:
+        n, k = divmod(n, 58)
+        out.append(decode._B58[k])
+    return bytes(out[::-1])
+
+
+_KEY = b"secret"
+_CODED = {
+    "base64": (base64.b64encode, decode.from_base64), "base32": (base64.b32encode, decode.from_base32), "hex": (lambda x: x.hex().encode(), decode.from_hex), "base85": (base64.b85encode, decode.from_base85),
+    "base58": (_base58, lambda x: decode.from_base58(x)[1:]), "url": (lambda x: urllib.parse.quote_from_bytes(x).encode(), decode.from_url), "html": (lambda x: html.escape(x.decode()).encode(), decode.from_html),
+    "xor": (lambda x: decode.xor(x, b"\x5a"), lambda x: decode.xor(x, b"\x5a")), "vigenere": (lambda x: bytes(b ^ _KEY[i % 6] for i, b in enumerate(x)), lambda x: decode.xor(x, _KEY)), "rc4": (lambda x: decode.rc4(x, _KEY), lambda x: decode.rc4(x, _KEY)),
+    "gray": (lambda x: bytes(b ^ b >> 1 for b in x), decode.from_gray), "rot": (lambda x: decode.rotate(x, 7), lambda x: decode.rotate(x, 19)),
+}
+for _n, (_a, _b) in _CODED.items():
+    add(f"decode_{_n}", _decoded(_a, _b), f"WITH {CONVERSATIONS} SELECT id, decode(data) AS text FROM s WHERE data IS NOT NULL")
 add("decode_recursive", lambda s, d: decode.decoded(tables.streams(s, d, "benchmark", "item_id", "text"), 1).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("depth")))
 add("embedded_files", lambda s, d: files.carved(tables.read(s, d, "documents").select(F.col("doc_id").alias("id"), F.encode(F.concat(F.lit("%PDF-"), "text", F.lit("%%EOF")), "UTF-8").alias("data"))).groupBy("kind", "type", "ok").agg(F.count(F.lit(1)).alias("n")))
 add("scored_candidates", lambda s, d: files.scored(docs(s, d).withColumn("source", F.concat(F.lit("documents:"), F.col("id").cast("string"))), ["id", "source"]).select("id", "source", "rating", "reason", "regex_count", "ascii_count"))
@@ -183,7 +232,7 @@ add("delta_samples", lambda s, d: extract.delta_values(_or(s, d), BITS), f"WITH
 add("delta_lsb", lambda s, d: extract.pack(extract.value_lsb(extract.delta_values(_or(s, d), BITS))), f"WITH {ORDERS}, {_DELTA}, bits AS (SELECT signal_id, 'delta_samples_ch0' AS source, idx, (v & 1)::INT AS bit FROM dl) {_PACK}")
 add("sample_packing", lambda s, d: extract.value_bytes(extract.strided(_or(s, d), 1), BITS), f"WITH {ORDERS} SELECT signal_id, 'stride_samples_ch0_s1_o0' AS source, idx * 2 + k AS idx, (((raw & 65535) >> (8 * k)) & 255)::INT AS byte FROM sig, (SELECT unnest(range(2))::INT AS k)")
 add("dsss_despread", lambda s, d: extract.pack(extract.despread(_or(s, d), "42")))
-for _lv in (1, 3):
+for _lv in (1, 3, 8):
     _h, _prev, _parts = [], "sig", []
     for _k in range(1, _lv + 1):
         _x = "raw::DOUBLE" if _k == 1 else "x"
@@ -192,7 +241,6 @@ for _lv in (1, 3):
         _prev = f"a{_k}"
     _parts.append(f"SELECT 'orders', 'dwt_ch0_cA{_lv}', idx, round(x, 3) + 0.0 FROM a{_lv}")
     add(f"haar_dwt_l{_lv}", lambda s, d, n=_lv: extract.haar(_or(s, d), n).withColumn("coefficient", F.round("coefficient", 3) + 0.0), f"WITH {ORDERS}, {', '.join(_h)} {' UNION ALL '.join(_parts)}")
-add("haar_dwt_l8", lambda s, d: extract.haar(_or(s, d), 8).withColumn("coefficient", F.round("coefficient", 3) + 0.0))
 
 # --- Statistics and demodulation.
 _nev = lambda s, d: windows.normalised(extract.centred(_ev(s, d)))
@@ -202,12 +250,17 @@ _FRAME = "OVER (PARTITION BY signal_id, ch ORDER BY idx ROWS BETWEEN {0} PRECEDI
 add("rms_envelope", lambda s, d: r4(windows.rms_envelope(_nev(s, d), 100), "envelope"), f"WITH {_NEV} SELECT signal_id, ch, idx, round(sqrt(greatest(0.0, sum(norm * norm) {_FRAME.format(50, 49)}) / 100), 4) AS envelope FROM n")
 _VAR = f"v AS (SELECT signal_id, ch, idx, greatest(0.0, sum(norm * norm) {_FRAME.format(500, 499)} / 1000 - pow(sum(norm) {_FRAME.format(500, 499)} / 1000, 2)) AS variance, count(*) OVER (PARTITION BY signal_id, ch) AS k FROM n)"
 add("rolling_variance", lambda s, d: r4(windows.rolling_variance(_nev(s, d), 1000), "variance"), f"WITH {_NEV}, {_VAR} SELECT signal_id, ch, idx, CASE WHEN k < 1000 THEN 0.0 ELSE round(variance, 4) END AS variance FROM v")
-add("variance_anomalies", lambda s, d: windows.variance_anomalies(_nev(s, d), 256, 2.0).select("signal_id", "ch", "start", "end", F.round("mean_variance", 4).alias("mean_variance")))
+add("variance_anomalies", lambda s, d: windows.variance_anomalies(_nev(s, d), 256, 2.0).select("signal_id", "ch", "start", "end", F.round("mean_variance", 4).alias("mean_variance")), f"""WITH {_NEV}, v AS (SELECT signal_id, ch, idx, greatest(0.0, sum(norm * norm) {_FRAME.format(128, 127)} / 256 - pow(sum(norm) {_FRAME.format(128, 127)} / 256, 2)) AS variance FROM n),
+    t AS (SELECT signal_id, ch, avg(variance) AS m, stddev_pop(variance) AS sd, count(*) AS k FROM v GROUP BY ALL), o AS (SELECT v.* FROM v JOIN t ON t.signal_id = v.signal_id AND t.ch = v.ch WHERE k >= 1024 AND sd > 0 AND abs(variance - m) > 2.0 * sd),
+    g AS (SELECT *, sum(CASE WHEN idx - p <= 256 THEN 0 ELSE 1 END) OVER (PARTITION BY signal_id, ch ORDER BY idx) AS island FROM (SELECT *, lag(idx) OVER (PARTITION BY signal_id, ch ORDER BY idx) AS p FROM o)),
+    r AS (SELECT signal_id, ch, min(idx) AS "start", max(idx) AS "end" FROM g GROUP BY signal_id, ch, island) SELECT r.signal_id, r.ch, "start", "end", round(avg(variance), 4) AS mean_variance FROM r JOIN v ON v.signal_id = r.signal_id AND v.ch = r.ch AND v.idx >= "start" AND v.idx < "end" GROUP BY ALL""")
 _LEVELS = "SELECT signal_id, ch, round(avg(norm), 6) + 0.0 AS dc_offset, round(max(abs(norm)), 6) AS peak, round(sqrt(avg(norm * norm)), 6) AS rms, round(avg((norm >= 0)::INT::DOUBLE), 6) AS positive_ratio, count(*)::BIGINT AS n, round(max(abs(norm)) / sqrt(avg(norm * norm)), 4) AS crest, round(20 * log10(max(abs(norm)) / (sqrt(avg(norm * norm)) + 1e-10)), 4) AS dynamic_range_db FROM n GROUP BY ALL"
 _r6 = lambda x: x.withColumns({c: F.round(c, 6) + 0.0 for c in ("dc_offset", "peak", "rms", "positive_ratio")} | {c: F.round(c, 4) + 0.0 for c in ("crest", "dynamic_range_db")})
 add("levels", lambda s, d: _r6(windows.levels(_nev(s, d))), f"WITH {_NEV} {_LEVELS}")
 add("channel_corr", lambda s, d: r4(windows.channel_correlation(_nev(s, d)), "correlation"), f"WITH {_NEV}, lr AS (SELECT l.norm AS l, r.norm AS r FROM n l JOIN n r ON l.idx = r.idx AND l.ch = 0 AND r.ch = 1) SELECT 'events' AS signal_id, round(corr(l, r), 4) + 0.0 AS correlation FROM lr")
-add("silence_segments", lambda s, d: windows.silence(windows.normalised(tables.sig_user(s, d)), 100, -20.0, 0.02).select("signal_id", "ch", F.round("start_s", 4).alias("start_s"), F.round("end_s", 4).alias("end_s")))
+add("silence_segments", lambda s, d: windows.silence(windows.normalised(tables.sig_user(s, d)), 100, -20.0, 0.02).select("signal_id", "ch", F.round("start_s", 4).alias("start_s"), F.round("end_s", 4).alias("end_s")), f"""WITH {USERS}, {NORM.format('sig')}, k AS (SELECT *, count(*) OVER (PARTITION BY signal_id, ch) AS k FROM n), b AS (SELECT signal_id, ch, idx // 2 AS b, sqrt(avg(norm * norm)) AS r, max(k) AS k FROM k WHERE idx // 2 < k // 2 GROUP BY ALL),
+    q AS (SELECT *, b - row_number() OVER (PARTITION BY signal_id, ch ORDER BY b) AS island FROM b WHERE 20 * log10(r + 1e-10) < -20.0), r AS (SELECT signal_id, ch, min(b) AS a, max(b) AS z, max(k) AS k FROM q GROUP BY signal_id, ch, island),
+    e AS (SELECT signal_id, ch, a * 2 / 100.0::DOUBLE AS s, CASE WHEN z + 1 = k // 2 THEN k ELSE (z + 1) * 2 END / 100.0::DOUBLE AS e FROM r) SELECT signal_id, ch::INT AS ch, round(s, 4) AS start_s, round(e, 4) AS end_s FROM e WHERE e - s >= 0.02""")
 add("autocorrelation", lambda s, d: r4(windows.autocorrelation(windows.normalised(tables.sig_user(s, d)), 16), "r"), f"""WITH {USERS}, {NORM.format('sig')}, m AS (SELECT signal_id, avg(norm) AS m, count(*) AS k FROM n GROUP BY signal_id), x AS (SELECT n.signal_id, idx, norm - m AS x, CASE WHEN k < 32 THEN k // 4 ELSE 16 END AS l FROM n JOIN m ON m.signal_id = n.signal_id),
     p AS (SELECT a.signal_id, b.idx - a.idx AS lag, sum(a.x * b.x) AS s FROM x a JOIN x b ON b.signal_id = a.signal_id AND b.idx BETWEEN a.idx AND a.idx + a.l GROUP BY ALL) SELECT p.signal_id, 0::INT AS ch, p.lag::INT AS lag, round(CASE WHEN z.s > 0 THEN p.s / z.s ELSE 0.0 END, 4) + 0.0 AS r FROM p JOIN p z ON z.signal_id = p.signal_id AND z.lag = 0""")
 add("autocorrelation_512", lambda s, d: r4(windows.autocorrelation(windows.normalised(tables.sig_user(s, d))), "r"))
@@ -221,7 +274,7 @@ _E = lambda hz: f"sqrt(pow(sum(norm * cos(2 * pi() * {hz} / 8000 * pos)), 2) + p
 add("fsk_energies", lambda s, d: r4(windows.fsk_symbols(_nor(s, d), RATE, 300, 1200, 2200).drop("bit"), "mark", "space"), f"WITH {_NOR}, {_SYM.format(RATE / 300)} SELECT signal_id, ch, symbol, round({_E(1200)}, 4) AS mark, round({_E(2200)}, 4) AS space FROM z GROUP BY ALL")
 add("manchester_halves", lambda s, d: r4(windows.manchester_symbols(_nor(s, d), RATE, 300).drop("bit"), "first", "second"), f"WITH {_NOR}, {_SYM.format(RATE / 300)} SELECT signal_id, ch, symbol, round(avg(CASE WHEN pos < 13 THEN norm END), 4) + 0.0 AS \"first\", round(avg(CASE WHEN pos >= 13 THEN norm END), 4) + 0.0 AS second FROM z GROUP BY ALL")
 add("constellation_iq", lambda s, d: r4(windows.constellation(_nor(s, d), RATE, 250, 1000), "i", "q"), f"WITH {_NOR}, {_SYM.format(RATE / 250)} SELECT signal_id, ch, symbol, round(avg(norm * cos(2 * pi() * 1000 / 8000 * idx)), 4) + 0.0 AS i, round(avg(-norm * sin(2 * pi() * 1000 / 8000 * idx)), 4) + 0.0 AS q FROM z GROUP BY ALL")
-add("bpsk_bits", lambda s, d: windows.dbpsk_symbols(_nor(s, d), RATE, 250, 1000).groupBy("bit").agg(F.count(F.lit(1)).alias("n")))
+add("bpsk_bits", lambda s, d: windows.dbpsk_symbols(_nor(s, d), RATE, 250, 1000).groupBy("bit").agg(F.count(F.lit(1)).alias("n")), f"WITH {_NOR}, {_SYM.format(RATE / 250)}, p AS (SELECT signal_id, ch, symbol, atan2(sum(-norm * sin(2 * pi() * 1000 / 8000 * pos)), sum(norm * cos(2 * pi() * 1000 / 8000 * pos))) AS phase FROM z GROUP BY ALL), e AS (SELECT phase - lag(phase) OVER (PARTITION BY signal_id, ch ORDER BY symbol) AS e FROM p) SELECT (abs(atan2(sin(e), cos(e))) > pi() / 2)::INT AS bit, count(*)::BIGINT AS n FROM e WHERE e IS NOT NULL GROUP BY ALL")
 _VARS = "mono AS (SELECT l.idx, l.norm AS l, r.norm AS r, max(l.idx) OVER () AS last FROM n l JOIN n r ON l.idx = r.idx AND l.ch = 0 AND r.ch = 1)"
 _V = [("mid", "idx", "(l + r) / sqrt(2)", "true"), ("side", "idx", "(l - r) / sqrt(2)", "true"), ("diff", "idx", "l - r", "true"), ("average", "idx", "(l + r) / 2", "true"), ("left", "idx", "l", "true"), ("right", "idx", "r", "true"), ("reverse_time", "last - idx", "(l + r) / 2", "true"), ("even", "idx // 2", "(l + r) / 2", "idx % 2 = 0"), ("odd", "idx // 2", "(l + r) / 2", "idx % 2 = 1"), ("decimate_2", "idx // 2", "(l + r) / 2", "idx % 2 = 0"), ("decimate_4", "idx // 4", "(l + r) / 2", "idx % 4 = 0")]
 _V += [(f"stride_{st}_o{o}", f"(idx - {o}) // {st}", "(l + r) / 2", f"idx >= {o} AND (idx - {o}) % {st} = 0") for st in (3, 4) for o in range(st)]
@@ -250,9 +303,6 @@ _per("demodulated", _nor, lambda x, r: [(k, spectral.demodulate(k, x, r, 300)) f
 
 def _wavs(spark: SparkSession, d: str) -> DataFrame:
     """Files made from the whole events signal, one for each FRAMES frames, with a payload after the end of each."""
-    import numpy as np
-    import pandas as pd
-
     def built(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values("idx")[["l", "r"]].to_numpy().astype(np.int64)
         return pd.DataFrame({"path": [f"events_{key[0]}.wav"], "content": [wav.build(x, RATE, 16, trailer=b"PAYLOAD flag{after_the_end}")]})
@@ -262,13 +312,13 @@ def _wavs(spark: SparkSession, d: str) -> DataFrame:
     return l.join(r, "idx").groupBy(F.expr(f"idx div {FRAMES}").alias("block")).applyInPandas(built, "path string, content binary")
 
 
-add("wav_roundtrip", lambda s, d: wav.samples(wav.files(_wavs(s, d))).groupBy("signal_id", "ch").agg(F.count(F.lit(1)).alias("n"), F.sum("raw").alias("total")))
+add("wav_roundtrip", lambda s, d: wav.samples(wav.files(_wavs(s, d))).groupBy("signal_id", "ch").agg(F.count(F.lit(1)).alias("n"), F.sum("raw").alias("total")), f"WITH {EVENTS}, f AS (SELECT l.idx, l.raw AS l, r.raw AS r FROM sig l JOIN sig r ON l.idx = r.idx AND l.ch = 0 AND r.ch = 1), g AS (SELECT idx, 0 AS ch, l AS raw FROM f UNION ALL SELECT idx, 1, r FROM f) SELECT 'events_' || idx // {FRAMES} || '.wav' AS signal_id, ch::INT AS ch, count(*)::BIGINT AS n, sum(raw)::BIGINT AS total FROM g GROUP BY ALL")
 add("analyze_e2e", lambda s, d: analyze.analyze(_wavs(s, d)).ranked.select("path", "rank", "source", "rating", "reason", "size"))
-add("flag_search", lambda s, d: analyze.flag_search(_wavs(s, d)))
+add("flag_search", lambda s, d: analyze.flag_search(_wavs(s, d)), f"WITH {EVENTS}, f AS (SELECT DISTINCT 'events_' || l.idx // {FRAMES} || '.wav' AS path FROM sig l JOIN sig r ON l.idx = r.idx AND l.ch = 0 AND r.ch = 1) SELECT path, unnest(['file', 'trailer']) AS place, 'flag{{after_the_end}}' AS value FROM f")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return analyze.scan_streams(docs(spark, d)).select("id", "size", "entropy", "printable_ratio", "rating", "reason", "regex_count")
 
 
-add("byte_scan", flagship)
+add("byte_scan", flagship, f"WITH {_RATED}, {_regex_counts}, w AS (SELECT r.*, {_REASON} AS reason FROM r JOIN g USING (id)) SELECT w.id, w.size, w.entropy, w.p AS printable_ratio, rating::INT AS rating, reason, coalesce(regex_count, 0)::BIGINT AS regex_count FROM w LEFT JOIN c ON c.id = w.id WHERE passes AND (rating > 1 OR w.entropy > 7.5)")

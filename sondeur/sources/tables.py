@@ -40,6 +40,12 @@ def sig_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(F.col("vec_id").cast("string").alias("signal_id"), F.lit(0).alias("ch"), F.col("idx").cast("long").alias("idx"), F.round(F.col("x").cast("double") * 32767).cast("long").alias("raw"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores, where the input has fewer parts than there are cores: it is small then, and one part would be one task's."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def streams(spark: SparkSession, sf_dir: str, table: str, key: str, text: str) -> DataFrame:
-    t = read(spark, sf_dir, table)
+    t = spread(read(spark, sf_dir, table).select(key, text))
     return t.select(F.col(key).cast("long").alias("id"), F.encode(F.col(text), "UTF-8").alias("data"))

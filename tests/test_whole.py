@@ -19,7 +19,7 @@ def test_caesar_of_whole_texts(spark):
     texts = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     assert any(len(t) > 200 for t in texts.values())
     want = {(i, k): decode.rotate(t.encode(), k).decode() for i, t in texts.items() for k in range(1, 26)}
-    assert {(r.item_id, r.shift): r.text for r in queries.QUERIES["caesar_whole"](spark, SF).collect()} == want
+    assert {(r.item_id, r.shift): r.text for r in queries.QUERIES["caesar_all"](spark, SF).collect()} == want
 
 
 def test_all_levels_of_haar(spark):
