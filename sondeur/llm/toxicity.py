@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows:
     each = [picked.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(rows) for k in (1, 0)]
     sample = F.broadcast(each[0].unionByName(each[1]))  # at most 2 * rows ids
     got = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").where(F.length("text") > 0)
-    got = got.select(order.alias("o"), "toxic", "text").dropDuplicates(["toxic", "text"])
+    got = got.groupBy("toxic", "text").agg(F.min(order).alias("o")).select("o", "toxic", "text")
 
     def learned(batches):
         found = sorted((o, t, y) for b in batches for o, y, t in zip(*(b.column(c).to_pylist() for c in ("o", "toxic", "text"))))
