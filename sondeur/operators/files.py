@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .decode import entropy, printable
-from .scan import PATTERNS, SIGNATURES
+from .scan import PATTERNS, SIGNATURES, custom_flag
 
 #: Bytes that an inflated stream may have; beyond that it is cut, so that a small input cannot fill memory.
 MOST = 64 << 20
@@ -137,26 +137,26 @@ def compressed(data: bytes, most: int = MOST) -> list[dict]:
     return found
 
 
-_COMPILED: dict[str, re.Pattern] = {}
+_COMPILED = {k: re.compile(p.encode()) for k, p in PATTERNS.items()}
 
 
-def pattern_hits(data: bytes) -> list[dict]:
-    if not _COMPILED:
-        _COMPILED.update({k: re.compile(p.encode()) for k, p in PATTERNS.items()})
-    hits = [{"type": k, "offset": m.start(), "length": len(m[0]), "value": m[0].decode("utf-8", "ignore").strip()} for k, p in _COMPILED.items() for m in p.finditer(data)]
+def pattern_hits(data: bytes, flag: str | None = None) -> list[dict]:
+    """type, offset, length, value of all patterns, and of flags of one's own name."""
+    own = {k: re.compile(p.encode()) for k, p in custom_flag(flag).items()} if flag else {}
+    hits = [{"type": k, "offset": m.start(), "length": len(m[0]), "value": m[0].decode("utf-8", "ignore").strip()} for k, p in (_COMPILED | own).items() for m in p.finditer(data)]
     return sorted(hits, key=lambda h: h["offset"])
 
 
-def score(data: bytes) -> dict:
-    """Rating 1 to 5 of a candidate stream, with the reason and what was found."""
+def score(data: bytes, flag: str | None = None) -> dict:
+    """Rating 1 to 5 of a candidate stream, with the reason and what was found. flag: a name of flags beside the known ones."""
     e, p = entropy(data), printable(data)
     base = {"size": len(data), "entropy": e, "printable_ratio": p, "preview_hex": data[:64].hex(" "), "preview_ascii": re.sub(r"[^ -~]", ".", data[:64].decode("latin-1"))}
     if len(data) < 4:
         return base | {"rating": 1, "reason": "too small", "findings": [], "magic_count": 0, "regex_count": 0, "ascii_count": 0, "comp_count": 0}
-    hits, magic, packed = pattern_hits(data), find_signatures(data), compressed(data)
+    hits, magic, packed = pattern_hits(data, flag), find_signatures(data), compressed(data)
     runs = [r.strip() for r in re.findall(rb"[ -~]{6,}", data) if r.strip()]
     counts = {"magic_count": len(magic), "regex_count": len(hits), "ascii_count": len(runs), "comp_count": len(packed)}
-    flags = [h for h in hits if h["type"] == "Flag"]
+    flags = [h for h in hits if h["type"] in ("Flag", "Custom Flag")]
     if flags:
         rating, reason, findings = 5, "flag pattern", [h["value"] for h in flags]
     elif magic:
@@ -164,7 +164,7 @@ def score(data: bytes) -> dict:
         ok, why = valid(data[first["offset"] : first["end"]], first["type"])
         rating, reason, findings = ((5 if first["confidence"] == "high" else 4) if ok else 2), why, [f"{m['type']} at {m['offset']}" for m in magic]
     elif packed:
-        rating = 5 if any(_COMPILED["Flag"].search(c["inflated"]) for c in packed) else 4
+        rating = 5 if any(h["type"] in ("Flag", "Custom Flag") for c in packed for h in pattern_hits(c["inflated"], flag)) else 4
         reason, findings = "compressed data", [f"{c['kind']} at {c['offset']}" for c in packed]
     elif hits:
         rating, reason, findings = 3, "known pattern", [f"{h['type']}: {h['value']}" for h in hits]
@@ -181,18 +181,18 @@ def score(data: bytes) -> dict:
     return base | counts | {"rating": rating, "reason": reason, "findings": findings[:20]}
 
 
-def passes(data: bytes) -> bool:
+def passes(data: bytes, flag: str | None = None) -> bool:
     """The cheap test before scanners run."""
     e = entropy(data)
     if len(data) < 4 or e < 0.5:
         return False
-    return e >= 7.95 or printable(data[:512]) >= 0.1 or bool(pattern_hits(data[:512]))
+    return e >= 7.95 or printable(data[:512]) >= 0.1 or bool(pattern_hits(data[:512], flag))
 
 
 SCORED = "size long, entropy double, printable_ratio double, preview_hex string, preview_ascii string, magic_count int, regex_count int, ascii_count int, comp_count int, rating int, reason string, findings array<string>"
 
 
-def scored(streams: DataFrame, keys: list[str], exhaustive: bool = False) -> DataFrame:
+def scored(streams: DataFrame, keys: list[str], exhaustive: bool = False, flag: str | None = None) -> DataFrame:
     """keys and the fields of score(). Equal contents, which extractors give often, are scored once."""
     from pyspark.sql import functions as F
 
@@ -201,7 +201,7 @@ def scored(streams: DataFrame, keys: list[str], exhaustive: bool = False) -> Dat
 
     def run(batches):
         for pdf in batches:
-            rows = [{"_h": h, **score(bytes(d))} for h, d, k in zip(pdf["_h"], pdf["data"], pdf["keep"]) if exhaustive or k or passes(bytes(d))]
+            rows = [{"_h": h, **score(bytes(d), flag)} for h, d, k in zip(pdf["_h"], pdf["data"], pdf["keep"]) if exhaustive or k or passes(bytes(d), flag)]
             yield pd.DataFrame(rows, columns=["_h", *[f.split(" ")[0] for f in SCORED.split(", ")]])
 
     found = once.mapInPandas(run, f"_h string, {SCORED}")

@@ -21,7 +21,7 @@ DECODED = ("_b9_", "s256", "dwt")
 
 @dataclass
 class Analysis:
-    """Tables with path in each: meta, ranked, signals, sigint."""
+    """Tables with path in each: meta, ranked, signals (modems), sigint."""
 
     meta: DataFrame
     ranked: DataFrame
@@ -29,9 +29,11 @@ class Analysis:
     sigint: DataFrame
 
 
-def candidates(parsed: DataFrame, exhaustive: bool = False) -> DataFrame:
+def candidates(parsed: DataFrame, exhaustive: bool = False, flag: str | None = None) -> DataFrame:
     """path, source, data of every extractor and of keyed decodings of some."""
 
+    words = [b"flag", b"ctf", *([flag.lower().encode()] if flag else [])]
+
     def run(batches):
         for pdf in batches:
             for r in pdf.itertuples():
@@ -41,8 +43,8 @@ def candidates(parsed: DataFrame, exhaustive: bool = False) -> DataFrame:
                 more = []
                 for source, data in rows:
                     if any(k in source for k in DECODED):
-                        for d in decode.decode_all(data, 1, keyed_only=True):
-                            if d["printable_ratio"] > 0.7 or b"flag" in d["data"].lower() or b"ctf" in d["data"].lower():
+                        for d in decode.decode_all(data, 1, keyed_only=True, flag=flag):
+                            if d["printable_ratio"] > 0.7 or any(w in d["data"].lower() for w in words):
                                 more.append((f"{source}_{'_'.join(d['path'])}", d["data"]))
                 for at in range(0, len(rows) + len(more), 500):
                     part = (rows + more)[at : at + 500]
@@ -79,7 +81,7 @@ def sigint(x: np.ndarray, rate: int, flag: str | None = None, depth: int = 2) ->
         for path, d, c in [(["demod_raw"], data, score)] + [(r["path"], r["data"], score * max(0.0, 1 - 0.1 * r["entropy"] / 8)) for r in decode.decode_all(data, depth, flag=flag)]:
             if d not in seen:
                 seen.add(d)
-                for h in files.pattern_hits(d):
+                for h in files.pattern_hits(d, flag):
                     findings.append(("finding", f"{name}: {h['type']}", f"{h['value']} ({' > '.join(path)})", c))
     return out + sorted(findings, key=lambda f: -f[3])
 
@@ -87,7 +89,7 @@ def sigint(x: np.ndarray, rate: int, flag: str | None = None, depth: int = 2) ->
 def analyze(binary: DataFrame, exhaustive: bool = False, flag: str | None = None) -> Analysis:
     """binary: path, content."""
     parsed = wav.files(binary)
-    scored = files.scored(candidates(parsed, exhaustive), ["path", "stream_order", "source"], exhaustive)
+    scored = files.scored(candidates(parsed, exhaustive, flag), ["path", "stream_order", "source"], exhaustive, flag)
 
     def signals(pdfs):
         for pdf in pdfs:
@@ -137,8 +139,8 @@ def analyze_deep(binary: DataFrame, levels: int = 2, **how) -> list[Analysis]:
     return out
 
 
-def flag_search(binary: DataFrame) -> DataFrame:
-    """path, place, value: flags in files' bytes, their trailers and lowest bit planes."""
+def flag_search(binary: DataFrame, flag: str | None = None) -> DataFrame:
+    """path, place, value: flags (of a name of one's own too) in files' bytes, their trailers and lowest bit planes."""
 
     def run(batches):
         for pdf in batches:
@@ -152,7 +154,7 @@ def flag_search(binary: DataFrame) -> DataFrame:
                         places[f"lsb_ch{c}"] = spectral.packed(m["samples"][:, c] & 1)
                 except ValueError:
                     pass
-                rows += [(p, k, h["value"]) for k, v in places.items() for h in files.pattern_hits(v) if h["type"] == "Flag"]
+                rows += [(p, k, h["value"]) for k, v in places.items() for h in files.pattern_hits(v, flag) if h["type"] in ("Flag", "Custom Flag")]
             yield pd.DataFrame(rows, columns=["path", "place", "value"])
 
     return binary.select("path", "content").mapInPandas(run, "path string, place string, value string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import html
+import math
 import urllib.parse
 from collections.abc import Callable
 
@@ -288,9 +289,12 @@ def _per(name: str, adapter, fn, schema: str) -> None:
 
 _vec = lambda s, d: windows.normalised(tables.sig_vec(s, d))
 _per("spectral_features", _vec, spectral.spectral_profile, "centroid double, bandwidth double, roll_off double, skewness double, kurtosis double, peak_hz double")
-_per("carriers", _nor, spectral.carriers, "hz double, power double, stability double")
-_per("harmonics", _nor, lambda x, r: [(g[0], len(g)) for g in spectral.harmonics([c[0] for c in spectral.carriers(x, r)])], "fundamental_hz double, carriers int")
-_per("sweeps", _nor, spectral.sweeps, "start_s double, end_s double, start_hz double, end_hz double, slope double, linearity double")
+# The signal of orders has no carriers: tones and a sweep are laid over it.
+_tones = lambda s, d: _nor(s, d).withColumn("norm", 0.1 * F.col("norm") + sum((F.sin(F.col("idx") * (2 * math.pi * hz / RATE)) for hz in (500, 1000, 1500, 3100)), F.lit(0.0)) / 4)
+_swept = lambda s, d: _nor(s, d).withColumn("norm", 0.1 * F.col("norm") + F.sin((F.col("idx") % 32_000) * (2 * math.pi / RATE) * (400 + 300 * (F.col("idx") % 32_000) / RATE)))
+_per("carriers", _tones, spectral.carriers, "hz double, power double, stability double")
+_per("harmonics", _tones, lambda x, r: [(g[0], len(g)) for g in spectral.harmonics([c[0] for c in spectral.carriers(x, r)])], "fundamental_hz double, carriers int")
+_per("sweeps", _swept, spectral.sweeps, "start_s double, end_s double, start_hz double, end_hz double, slope double, linearity double")
 _per("modem_scan", _nev, lambda x, r: spectral.detected(x, r, spectral.MODEMS), "detector string, score double")
 _per("modulation_scan", _nev, lambda x, r: spectral.detected(x, r, spectral.MODULATIONS), "detector string, score double")
 _per("detector_scores", _nor, lambda x, r: [(n, float(f(x, r))) for n, f in {**spectral.MODEMS, **spectral.MODULATIONS}.items()], "detector string, score double")
