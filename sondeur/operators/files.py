@@ -87,7 +87,7 @@ def _inflates(f):
     return check
 
 
-#: Checks by the first word of a type's name that they apply to, in this order.
+#: Checks by a word of a type's name that they apply to, in this order.
 CHECKS = {
     "ZIP": _zip,
     "PNG": lambda d: d.startswith(b"\x89PNG\r\n\x1a\n") and b"IEND" in d and d[12:16] == b"IHDR" and struct.unpack(">I", d[8:12])[0] == 13,
@@ -109,8 +109,9 @@ CHECKS = {
 
 
 def valid(data: bytes, kind: str) -> tuple[bool, str]:
+    words = kind.upper().split()
     for word, check in CHECKS.items():
-        if kind.upper().startswith(word.upper()):
+        if word.upper() in words:
             try:
                 return (True, f"{word} structure holds") if check(data) else (False, f"{word} structure is broken")
             except Exception as e:  # noqa: BLE001  any failure to parse is the answer

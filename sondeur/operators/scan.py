@@ -29,12 +29,12 @@ PATTERNS = {
 }
 # Names, patterns and confidences.
 INTELLIGENCE = {
-    "Specific Flag": (rf"(?i)(?:ctf|htb|picoctf|flag)\s*\{{{_INNER}+\}}", 1.0),
+    "Specific Flag (CTF/HTB/picoCTF)": (rf"(?i)(?:ctf|htb|picoctf|flag)\s*\{{{_INNER}+\}}", 1.0),
     "Generic Flag Pattern": (rf"\b[a-zA-Z0-9_\-]{{3,15}}\s*\{{{_INNER}{{4,60}}\}}\b", 0.85),
     "JWT Token": (r"\beyJhbGciOi[A-Za-z0-9-_=]+\.[A-Za-z0-9-_=]+\.?[A-Za-z0-9-_.+/=]*\b", 0.95),
-    "Private Key Block": (r"-----BEGIN [A-Z ]+ PRIVATE KEY-----", 1.0),
+    "RSA/SSH Private Key Block": (r"-----BEGIN [A-Z ]+ PRIVATE KEY-----", 1.0),
     "PEM Certificate Block": (r"-----BEGIN CERTIFICATE-----", 1.0),
-    "API Key Candidate": (r"\b(?:api_key|apikey|secret|token|password)\s*[:=]\s*[\x22']?[A-Za-z0-9\-_]{16,64}[\x22']?\b", 0.8),
+    "API Key Candidate": (r'''\b(?:api_key|apikey|secret|token|password)\s*[:=]\s*["']?[A-Za-z0-9\-_]{16,64}["']?\b''', 0.8),
     "URL": (_URL, 0.9),
     "Email Address": (_EMAIL, 0.95),
     "IPv4 Address": (_IPV4, 0.9),
@@ -45,18 +45,18 @@ INTELLIGENCE = {
 # Name, header, footer, least size. Order settles ties at equal offsets.
 SIGNATURES = [
     ("ZIP Archive", "504B0304", "504B0506", 22), ("PNG Image", "89504E470D0A1A0A", "49454E44AE426082", 12), ("JPEG Image", "FFD8FF", "FFD9", 10),
-    ("ELF Executable", "7F454C46", None, 64), ("PE Executable", "4D5A", None, 64), ("PDF Document", "255044462D", "2525454F46", 20),
+    ("ELF Executable", "7F454C46", None, 64), ("Windows PE Executable", "4D5A", None, 64), ("PDF Document", "255044462D", "2525454F46", 20),
     ("GZIP Archive", "1F8B08", None, 18), ("BZIP2 Archive", "425A68", None, 14), ("7-Zip Archive", "377ABCAF271C", None, 32),
-    ("GIF89a Image", "474946383961", "003B", 14), ("GIF87a Image", "474946383761", "003B", 14), ("RAR Archive v4", "526172211A0700", None, 20),
-    ("RAR Archive v5", "526172211A070100", None, 20), ("SQLite Database", "53514C69746520666F726D6174203300", None, 100), ("WAV Audio", "52494646", None, 44),
+    ("GIF Image", "474946383961", "003B", 14), ("GIF Image (Alt)", "474946383761", "003B", 14), ("RAR Archive", "526172211A0700", None, 20),
+    ("RAR Archive (v5)", "526172211A070100", None, 20), ("SQLite Database", "53514C69746520666F726D6174203300", None, 100), ("WAV Audio", "52494646", None, 44),
     ("BMP Image", "424D", None, 54), ("MP3 Audio (ID3)", "494433", None, 10), ("MP3 Audio (MPEG sync)", "FFFB", None, 4), ("OGG Audio", "4F676753", None, 27),
 ]
 
 
 #: What a stream must hold for a pattern to match, as a cheap test before it: bytes, or a pattern without look-around.
 NEEDED = {
-    "Flag": (None, r"(?i)\{|(?:flag|ctf|key|secret|hunt)\s*[=:\-]"), "Specific Flag": ("{", None), "Generic Flag Pattern": ("{", None), "Custom Flag": ("{", None), "URL": ("://", None), "Email": ("@", None), "Email Address": ("@", None),
-    "IPv4 Address": (None, r"[0-9]\.[0-9]{1,3}\."), "IPv6 Address": (None, r"[0-9a-fA-F]:[0-9a-fA-F]{1,4}:"), "JWT Token": ("eyJhbGciOi", None), "Private Key Block": ("-----BEGIN ", None), "PEM Certificate Block": ("-----BEGIN ", None),
+    "Flag": (None, r"(?i)\{|(?:flag|ctf|key|secret|hunt)\s*[=:\-]"), "Specific Flag (CTF/HTB/picoCTF)": ("{", None), "Generic Flag Pattern": ("{", None), "Custom Flag": ("{", None), "URL": ("://", None), "Email": ("@", None), "Email Address": ("@", None),
+    "IPv4 Address": (None, r"[0-9]\.[0-9]{1,3}\."), "IPv6 Address": (None, r"[0-9a-fA-F]:[0-9a-fA-F]{1,4}:"), "JWT Token": ("eyJhbGciOi", None), "RSA/SSH Private Key Block": ("-----BEGIN ", None), "PEM Certificate Block": ("-----BEGIN ", None),
     "API Key Candidate": (None, r"(?i)(?:key|secret|token|password)\s*[:=]"),
 }
 
@@ -144,19 +144,25 @@ def find_all(text: Column, needle_hex: str) -> Column:
     return F.transform(ends, lambda e: e - 1)
 
 
+_ONES = np.bitwise_count(np.arange(256, dtype=np.uint8))
+
+
+def statistics(d: bytes | None) -> dict:
+    """What `profile` says of one stream."""
+    d = d or b""
+    whole, head = B._histogram(d), B._histogram(d[:65_536])
+    n, m = max(1, len(d)), max(1, head.sum())
+    chunks = np.frombuffer(d[: min(len(d), 4096) // 4 * 4], "<u4")
+    unique = len(np.unique(chunks)) / len(chunks) if len(d) >= 8 else 1.0
+    return {"size": len(d), "entropy": float(B._entropies(whole)), "printable_ratio": whole[32:127].sum() / n, "bit_bias": (head @ _ONES) / (8 * m), "peak_ratio": head.max() / m, "unique_ratio": unique}
+
+
 def profile(streams: DataFrame, key: str = "id") -> DataFrame:
     """key, size, entropy, printable_ratio; bit_bias and peak_ratio of the first 64 KiB; unique_ratio of 4-byte chunks of the first 4 KiB (1 under 8 bytes)."""
 
     @F.pandas_udf("struct<entropy:double,printable_ratio:double,bit_bias:double,peak_ratio:double,unique_ratio:double>")
     def each(data: pd.Series) -> pd.DataFrame:
-        ones, rows = np.bitwise_count(np.arange(256, dtype=np.uint8)), []
-        for d in data:
-            d = d or b""
-            whole, head = B._histogram(d), B._histogram(d[:65_536])
-            n, m = max(1, len(d)), max(1, head.sum())
-            chunks = np.frombuffer(d[: min(len(d), 4096) // 4 * 4], "<u4")
-            rows.append((float(B._entropies(whole)), whole[32:127].sum() / n, (head @ ones) / (8 * m), head.max() / m, len(np.unique(chunks)) / len(chunks) if len(d) >= 8 else 1.0))
-        return pd.DataFrame(rows, columns=["entropy", "printable_ratio", "bit_bias", "peak_ratio", "unique_ratio"])
+        return pd.DataFrame([statistics(d) for d in data], columns=["entropy", "printable_ratio", "bit_bias", "peak_ratio", "unique_ratio"])
 
     return streams.select(key, F.coalesce(F.octet_length("data"), F.lit(0)).cast("long").alias("size"), each("data").alias("_p")).select(key, "size", "_p.*")
 

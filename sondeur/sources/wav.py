@@ -94,8 +94,8 @@ def build(samples: np.ndarray, rate: int = 44_100, bits: int = 16, extra: bytes
     return b"RIFF" + struct.pack("<I", len(inner)) + inner + trailer
 
 
-def files(binary: DataFrame, key: str = "path") -> DataFrame:
-    """key and META of (key, content). A file that can't be read has its error and nothing else."""
+def files(binary: DataFrame, key: str = "path", samples: bool = True) -> DataFrame:
+    """key and META of (key, content). A file that can't be read has its error and nothing else. samples: whether to give raw_data and samples too, or nulls."""
     names = [f.split(" ")[0] for f in META.replace("struct<id:string,size:long,offset:long>", "x").split(", ")]
 
     def run(batches):
@@ -104,7 +104,7 @@ def files(binary: DataFrame, key: str = "path") -> DataFrame:
             for k, d in zip(pdf[key], pdf["content"]):
                 try:
                     m = parse(bytes(d))
-                    rows.append({key: k, **m, "samples": m["samples"].T.tolist(), "error": None})
+                    rows.append({key: k, **m, "samples": m["samples"].T.tolist() if samples else None, "error": None} | ({} if samples else {"raw_data": None}))
                 except Exception as e:  # noqa: BLE001  one bad file is one bad row
                     rows.append(dict.fromkeys(names) | {key: k, "error": f"{type(e).__name__}: {e}"[:200]})
             frame = pd.DataFrame(rows, columns=[key, *names], dtype=object)
