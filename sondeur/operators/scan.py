@@ -102,6 +102,14 @@ def intelligence(streams: DataFrame, key: str = "id", types: tuple[str, ...] | N
     return m.withColumn("confidence", F.when(dull, base * 0.1).otherwise(base))
 
 
+def base64_flags(streams: DataFrame, flag: str | None = None, key: str = "id") -> DataFrame:
+    """key, value: what Base64 of 40 characters or more decodes to (as Latin-1), where that holds FLAG{ or a name of one's own in capitals."""
+    found = F.regexp_extract_all(B.latin1(F.col("data")), F.lit(r"((?:[A-Za-z0-9+/]{4}){10,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?)"), F.lit(1))
+    values = streams.select(key, F.explode(found).alias("_b")).select(key, B.latin1(F.unbase64("_b")).alias("value"))
+    wanted = F.contains("value", F.lit("FLAG{"))
+    return values.where(wanted | F.contains("value", F.lit(flag.upper())) if flag else wanted)
+
+
 def ascii_runs(streams: DataFrame, least: int = 4, key: str = "id") -> DataFrame:
     """key, hit, offset, text: runs of bytes from space to tilde, stripped, without blank ones; the offset is of the unstripped run."""
     text = B.latin1(F.col("data"))

@@ -321,6 +321,24 @@ add("analyze_e2e", lambda s, d: analyze.analyze(_wavs(s, d)).ranked.select("path
 add("flag_search", lambda s, d: analyze.flag_search(_wavs(s, d)), f"WITH {EVENTS}, f AS (SELECT DISTINCT 'events_' || l.idx // {FRAMES} || '.wav' AS path FROM sig l JOIN sig r ON l.idx = r.idx AND l.ch = 0 AND r.ch = 1) SELECT path, unnest(['file', 'trailer']) AS place, 'flag{{after_the_end}}' AS value FROM f")
 
 
+# --- Fields of the analysis of these files.
+_LEFT = f"{EVENTS}, f AS (SELECT 'events_' || l.idx // {FRAMES} || '.wav' AS path, l.idx, l.raw AS l, r.raw AS r FROM sig l JOIN sig r ON l.idx = r.idx AND l.ch = 0 AND r.ch = 1)"
+_HEX = "printf('%02X%02X', {0} & 255, ({0} >> 8) & 255)"
+_RAW = "d AS (SELECT path, unhex(string_agg(" + _HEX.format("l") + " || " + _HEX.format("r") + ", '' ORDER BY idx)) AS data FROM f GROUP BY path)"
+# The walk over chunks goes to the end of the file, so what follows the container counts as one.
+add("wav_meta", lambda s, d: wav.files(_wavs(s, d), samples=False).select("path", "file_size", "riff_size", "channels", "sample_rate", "bits_per_sample", "audio_format", "duration_s", "total_samples", F.size("chunks").alias("chunks"), F.octet_length("trailer").alias("trailer_size"), "error"), f"WITH {_LEFT} SELECT path, (44 + 4 * count(*) + 27)::BIGINT AS file_size, (36 + 4 * count(*))::BIGINT AS riff_size, 2 AS channels, {RATE} AS sample_rate, 16 AS bits_per_sample, 'PCM' AS audio_format, count(*) / {RATE}::DOUBLE AS duration_s, count(*)::BIGINT AS total_samples, 3 AS chunks, 27 AS trailer_size, NULL::VARCHAR AS error FROM f GROUP BY path")
+add("extracted_channel", lambda s, d: analyze.extracted(_wavs(s, d), "channel_1_raw").select("path", F.md5("data").alias("md5"), F.octet_length("data").cast("long").alias("size")), f"WITH {_LEFT} SELECT path, md5(unhex(string_agg({_HEX.format('r')}, '' ORDER BY idx))) AS md5, (2 * count(*))::BIGINT AS size FROM f GROUP BY path")
+add("extracted_lsb", lambda s, d: analyze.extracted(_wavs(s, d), "multi_bitplane_ch0_b0_msb").select("path", F.md5("data").alias("md5")), f"WITH {_LEFT}, o AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY idx) - 1 AS k FROM f), b AS (SELECT path, k // 8 AS place, sum((l & 1) << (7 - k % 8)::INT)::INT AS byte FROM o GROUP BY ALL HAVING count(*) = 8) SELECT path, md5(unhex(string_agg(printf('%02X', byte), '' ORDER BY place))) AS md5 FROM b GROUP BY path HAVING count(*) >= 8")
+add("analysis_summary", lambda s, d: analyze.analyze(_wavs(s, d)).summary.select("path", "duration_s", F.round("rms", 4).alias("rms"), "peak", F.round("positive_ratio", 6).alias("positive_ratio")), f"WITH {_LEFT} SELECT path, count(*) / {RATE}::DOUBLE AS duration_s, round(sqrt(avg(l::DOUBLE * l)), 4) AS rms, max(abs(l))::DOUBLE AS peak, round(avg((l >= 0)::INT::DOUBLE), 6) AS positive_ratio FROM f GROUP BY path")
+_FLAGS = "SELECT path, unnest([0, 1]) AS ch, unnest([round(avg(l / 32768.0::DOUBLE), 6), round(avg(r / 32768.0::DOUBLE), 6)]) AS dc_offset, unnest([abs(avg(l / 32768.0::DOUBLE)) > 0.01, abs(avg(r / 32768.0::DOUBLE)) > 0.01]) AS offset_is_odd, unnest([max(abs(l)) / sqrt(avg(l::DOUBLE * l)) > 15, max(abs(r)) / sqrt(avg(r::DOUBLE * r)) > 15]) AS crest_is_odd FROM f GROUP BY path"
+add("analysis_fingerprint", lambda s, d: analyze.analyze(_wavs(s, d)).fingerprint.select("path", "reasons", F.explode("levels").alias("v")).select("path", "v.ch", F.round("v.dc_offset", 6).alias("dc_offset"), F.exists("reasons", lambda r: F.startswith(r, F.concat(F.lit("DC offset of channel "), F.col("v.ch"), F.lit(":")))).alias("offset_is_odd"), F.exists("reasons", lambda r: F.startswith(r, F.concat(F.lit("crest factor of channel "), F.col("v.ch"), F.lit(":")))).alias("crest_is_odd")), f"WITH {_LEFT} {_FLAGS}")
+add("analysis_entropy", lambda s, d: r4(analyze.analyze(_wavs(s, d)).entropy, "entropy"), f"WITH {_LEFT}, b AS (SELECT path, unnest([l & 255, (l >> 8) & 255, r & 255, (r >> 8) & 255]) AS byte, unnest([0, 1, 2, 3]) + 4 * (row_number() OVER (PARTITION BY path ORDER BY idx) - 1) AS i, 4 * count(*) OVER (PARTITION BY path) AS size FROM f), w AS (SELECT path, byte, unnest(CASE WHEN size <= 2048 THEN [0] WHEN i >= 1024 THEN [i // 1024, i // 1024 - 1] ELSE [i // 1024] END) AS win, size FROM b), h AS (SELECT path, win, byte, count(*) AS n FROM w WHERE size <= 2048 OR win * 1024 + 2048 <= size GROUP BY ALL) SELECT path, win::INT AS win, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 4) + 0.0 AS entropy FROM h GROUP BY ALL")
+add("analysis_log", lambda s, d: analyze.analyze(_wavs(s, d)).log.where("extractor in ('multibit_bitplanes', 'channels', 'relationships', 'sign_bits', 'sample_parity', 'trailer')"), f"WITH {_LEFT}, k AS (SELECT path, count(*) AS n FROM f GROUP BY path) SELECT path, unnest(['multibit_bitplanes', 'channels', 'relationships', 'sign_bits', 'sample_parity', 'trailer']) AS extractor, unnest([CASE WHEN n >= 64 THEN 64 ELSE 0 END, 5, CASE WHEN n > 64 THEN 12 ELSE 4 END, CASE WHEN n >= 8 THEN 4 ELSE 0 END, CASE WHEN n >= 64 THEN 4 ELSE 0 END, 1])::BIGINT AS n FROM k")
+for _t in ("stats", "anomalies", "findings", "harmonics", "recommendations"):
+    add(f"analysis_{_t}", lambda s, d, t=_t: getattr(analyze.analyze(_wavs(s, d)), t))
+add("base64_flags", lambda s, d: scan.base64_flags(tables.read(s, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.encode("text", "UTF-8"), F.encode(F.concat(F.lit(" "), F.base64(F.encode(F.concat(F.lit("FLAG{of document "), "doc_id", F.lit(", behind Base64}")), "UTF-8")), F.lit(" ")), "UTF-8")).alias("data"))), f"SELECT doc_id AS id, 'FLAG{{of document ' || doc_id || ', behind Base64}}' AS value FROM documents")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return analyze.scan_streams(docs(spark, d)).select("id", "size", "entropy", "printable_ratio", "rating", "reason", "regex_count")
 
