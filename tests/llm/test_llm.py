@@ -445,6 +445,40 @@ def test_dedup_finds_all_near_copies(spark):
     assert {x.doc_id for x in simhash.dedup(d).collect()} == want
 
 
+def test_dedup_goes_by_fingerprints(spark, monkeypatch):
+    """Without the exact way, dedup joins near copies that the tree finds; no intermediate table of it stays but the rows to keep."""
+    r = random.Random(5)
+    texts, close = [], 0
+    for _ in range(12):
+        base = [f"w{r.randrange(5000)}" for _ in range(500)]
+        prints = [simhash.majority(simhash.hashes(" ".join(t), 5)) for t in (base, [*base[:-1], "end"])]
+        close += (prints[0] ^ prints[1]).bit_count() <= 3
+        texts += [base, [*base[:-1], "end"]]
+    assert close > 6
+    tables, stored = [], common.stored
+
+    def noted(df, name):
+        out = stored(df, name)
+        tables.append((name, out._stored_at.removeprefix("file://")))
+        return out
+
+    monkeypatch.setattr(common, "stored", noted)
+    monkeypatch.setattr(simhash, "_centres", lambda sets: spark.createDataFrame([], "k int, centre long, node long"))
+    d = table(spark, [(i, " ".join(t), "en", "s") for i, t in enumerate(texts)])
+    assert simhash.dedup(d).count() == len(texts) - close
+    assert {name for name, path in tables if os.path.exists(path)} == {"keep"}
+
+
+def test_parities_never_exceed_the_difference():
+    r = np.random.default_rng(3)
+    for n in (1, 30, 300, 800, 801, 5000):
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        for share in (0, 0.02, 0.2, 1):
+            b = np.unique(np.where(r.random(len(a)) < share, r.integers(0, 1 << 63, len(a), dtype=np.uint64), a))
+            x, y = simhash.parities(a), simhash.parities(b)
+            assert len(x) == len(y) and np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 @pytest.mark.parametrize("members", [1, 4, 1000])
 def test_tree_finds_all_pairs(spark, members):
     r = random.Random(8)
