@@ -469,6 +469,34 @@ def test_dedup_goes_by_fingerprints(spark, monkeypatch):
     assert {name for name, path in tables if os.path.exists(path)} == {"keep"}
 
 
+def test_dedup_keeps_only_sets_that_it_compares(spark, monkeypatch):
+    """Shingles of texts that are like no other are never written or shuffled whole, and the bitmap that finds the rest loses none."""
+    r = random.Random(6)
+    say = lambda n: " ".join(f"w{r.randrange(50_000)}" for _ in range(n))
+    alone, base = [say(50) for _ in range(200)], [say(60) for _ in range(5)]
+    texts = alone + [b for b in base for _ in range(3)] + [b + " end" for b in base]
+    whole, stored = [], common.stored
+
+    def noted(df, name):
+        out = stored(df, name)
+        if "shingles" in out.columns:
+            whole.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "stored", noted)
+    d = table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).repartition(3)
+    kept = sorted(x.doc_id for x in simhash.dedup(d).collect())
+    assert kept == [*range(200), *range(200, 215, 3)]
+    assert sum(whole) == 10
+    hashed = stored(spark.range(3000).selectExpr("xxhash64(id) text_hash"), "some")
+    for most in (1 << 10, 1 << 27):
+        monkeypatch.setattr(simhash, "FILTER_MOST", most)
+        flags = np.unpackbits(simhash._bitmap(hashed), bitorder="little")
+        want = np.zeros(len(flags), bool)
+        want[[x.text_hash % len(flags) for x in hashed.collect()]] = True
+        assert len(flags) == (1 << 15 if most < 1 << 15 else 1 << 16) and (flags == want).all()
+
+
 def test_parities_never_exceed_the_difference():
     r = np.random.default_rng(3)
     for n in (1, 30, 300, 800, 801, 5000):
