@@ -354,6 +354,19 @@ def test_encoder_equals_tokenizer():
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_learns_words_once():
+    """Case and the marks at a word's end make no other word; letters that end in a combining mark keep their marks."""
+    from tokenizers import Tokenizer
+
+    encoder, whole = packing.Encoder(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    encoder.encode(pa.array(["Word WORD wOrd word word, Word. word!? Été, été"]))
+    assert set(encoder.place) == {"word", ",", ".", "!?", "Été", "été"}
+    r = random.Random(4)
+    texts = ["".join(r.choices("aAzéÉß'’<>|- \n\t01½ſǅΣςİK漢Ж\u0301\u0307\ufb2a\u0958,.!?;:*$%#&", k=r.randint(1, 25))) for _ in range(20_000)] + ["A<|endoftext|>B, C.", "IT'S. we'LL;"]
+    ids, bounds = packing.Encoder(packing.tokenizer_path()).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_fingerprints(spark, docs, empty):
     got = fingerprint.fingerprints(docs).collect()
     order = sorted(((i, t or "") for i, t in rows_of(docs)), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
